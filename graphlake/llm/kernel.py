@@ -7,12 +7,14 @@ NumPy passes however many words it holds. Blocks are bounded in bytes; a longer
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from typing import NamedTuple
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast, SparkContext, cloudpickle
 
 BLOCK_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -123,12 +125,7 @@ def windows(hashes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
 
 def sequence_hash(hashes: np.ndarray, first: np.ndarray, salt: int = 1) -> np.ndarray:
     """An order-sensitive hash of each row's words."""
-    n = len(hashes)
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix(hashes + np.uint64(salt)) * up[:n], out=total[1:])
-    lo, hi = first[:-1], first[1:]
-    return mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+    return range_hash(hashes, first[:-1], first[1:], salt)
 
 
 def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -136,3 +133,53 @@ def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
     np.cumsum(values, out=total[1:])
     return total[first[1:]] - total[first[:-1]]
+
+
+def range_hash(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray, salt: int = 1) -> np.ndarray:
+    """An order-sensitive hash of the words lo[i]..hi[i]-1 of each range."""
+    n = len(hashes)
+    up, down = powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(hashes + np.uint64(salt)) * up[:n], out=total[1:])
+    return mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+
+
+#: 64-bit words of a Bloom filter: its size is the same whatever it holds; full, it passes more, never less.
+BLOOM_WORDS = 1 << 17
+
+
+def bloom_slots(values: np.ndarray, words: int = BLOOM_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    slot = mix(values.astype(np.int64).view(np.uint64)) % np.uint64(words * 64)
+    return (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63))
+
+
+def bloom_has(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at, bit = bloom_slots(values, len(table))
+    return (table[at] & bit) != 0
+
+
+def bloom(column_of_longs, words: int = BLOOM_WORDS) -> np.ndarray:
+    """The filter of a one-column DataFrame of longs; the driver gets at most ``words`` rows, whatever the DataFrame's size."""
+    from pyspark.sql import functions as F
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(words, np.uint64)
+        for batch in batches:
+            at, bit = bloom_slots(batch.column(0).to_numpy(zero_copy_only=False), words)
+            np.bitwise_or.at(table, at, bit)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at].view(np.int64))], ["at", "bits"])
+
+    got = column_of_longs.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(words, np.uint64)
+    table[got.column("at").to_numpy()] = got.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    return table
+
+
+def share(sc: SparkContext, value: Any) -> Broadcast:
+    """A broadcast of an object of a class of ours, with the class, so that executors need no copy of this package."""
+    return sc.broadcast(cloudpickle.dumps(value))
+
+
+def opened(shared: Broadcast) -> Any:
+    return pickle.loads(shared.value)

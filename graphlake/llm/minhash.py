@@ -11,7 +11,7 @@ the first is the least identifier, those of later ones are least by another hash
 verified between different components, so links that a first centre misses are found while pairs stay bounded. Each
 candidate is confirmed on the full sets.
 
-Sets travel only for documents in some bucket with another, told by a Bloom filter of fixed size (``BLOOM_WORDS``
+Sets travel only for documents in some bucket with another, told by a Bloom filter of fixed size (``kernel.BLOOM_WORDS``
 64-bit words): where it is full it passes more rows, never fewer.
 
 Null, empty and white-space texts have the empty set and are linked with nothing. Rows that share an identifier are
@@ -36,7 +36,6 @@ THRESHOLD = 75  # per cent
 BANDS, ROWS = 32, 4
 STARS = 3
 BITS = 52
-BLOOM_WORDS = 1 << 17
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, w: int = WORDS) -> tuple[np.ndarray, np.ndarray, K.Words]:
@@ -104,36 +103,13 @@ def _sketch(bands: int, rows: int, w: int):
     return run
 
 
-def _bloom_has(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    slot = K.mix(ids.view(np.uint64)) % np.uint64(len(table) * 64)
-    return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-
-
-def _bloom(ids: DataFrame, words: int = BLOOM_WORDS) -> np.ndarray:
-    """A one-hash filter of ``words`` 64-bit words; made of at most that many rows, whatever the number of identifiers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(words, np.uint64)
-        for batch in batches:
-            slot = K.mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(words * 64)
-            np.bitwise_or.at(table, (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at].view(np.int64))], ["at", "bits"])
-
-    parts = ids.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
-    table = np.zeros(words, np.uint64)
-    got = parts.toArrow()
-    table[got.column("at").to_numpy()] = got.column("bits").to_numpy().astype(np.int64).view(np.uint64)
-    return table
-
-
 def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, w: int) -> DataFrame:
     """(id, set) with the set as 7 bytes per shingle, in order, of documents that ``wanted`` (id) may hold."""
-    table = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
+    table = docs.sparkSession.sparkContext.broadcast(K.bloom(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(_bloom_has(table.value, batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64))))
+            batch = batch.filter(pa.array(K.bloom_has(table.value, batch.column("id").to_numpy(zero_copy_only=False))))
             raw, offsets = K.text_bytes(batch.column("text"))
             for lo, hi in K.blocks(offsets):
                 at = offsets[lo : hi + 1]

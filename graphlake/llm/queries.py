@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.llm import decontaminate, exact_dedup, license_scan, minhash, mixing
+from graphlake.llm import decontaminate, exact_dedup, katz, language, license_scan, minhash, mixing, pii, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,5 +48,51 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def _remainder(n: int) -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(_table(spark, sf_dir, "documents"), _remainder(7) == 2).withColumnRenamed("id", "doc_id")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    names = F.array(*[F.lit(k) for k in pii.KINDS])
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"] < 4)
+    counts = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(shown(base).cast("binary"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
+def _of_kind(k: int):
+    return lambda s: s["kind"] == k
+
+
+def _toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").where("toxic is not null").groupBy(F.col("doc_id").alias("of")).agg(F.max("toxic").alias("label"))
+    docs = _table(spark, sf_dir, "documents").where(_remainder(5) != 0)
+    return docs.join(labels, F.col("doc_id") == F.col("of")).select(F.col("doc_id").alias("id"), "text", "label")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(_toxic_labels(spark, sf_dir))
+    scored = toxicity.score(_table(spark, sf_dir, "documents"), model).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its repeated passages cut out, and how many sentences that were."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs, counts=True).select("doc_id", "n_removed", "text")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(_remainder(4) != 2).select(F.col("doc_id").alias("id"), "text", "lang"))
+    found = language.identify(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_decontamination, op5_mixing, op7_license_scan, op8_minhash)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_katz, op3_decontamination, op4_pii, op5_mixing, op6_toxicity, op7_license_scan, op8_minhash, op9_substring_dedup, op10_language)}
