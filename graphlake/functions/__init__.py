@@ -1 +1 @@
-
+"""Functions beside the graph operators."""
