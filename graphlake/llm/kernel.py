@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast, SparkContext, cloudpickle
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -53,6 +53,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all rows and the offset of each; null counts as empty."""
+    pa.default_memory_pool().release_unused()  # what earlier batches held
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     if column.null_count:

@@ -184,7 +184,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for batch in batches:
             raw, offsets = K.text_bytes(batch.column("text"))
             letters = batch.column("letters").to_numpy(zero_copy_only=False)
-            for lo, hi in K.blocks(offsets, 4 << 20):
+            for lo, hi in K.blocks(offsets, 2 << 20):
                 at = offsets[lo : hi + 1]
                 und = ~letters[lo:hi]
                 if m.languages:
