@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlake.graph import Graph
-from graphlake.plans.staging import stage
+from graphlake.plans.staging import discard, stage
 
 
 def pagerank(graph: Graph, epsilon: float = 1e-6, link_prob: float = 0.85, max_rounds: int = 1000, variant: str = "standard") -> DataFrame:
@@ -32,14 +32,14 @@ def pagerank(graph: Graph, epsilon: float = 1e-6, link_prob: float = 0.85, max_r
     state = stage(state, "rank")
     for _ in range(max_rounds):
         given = arcs.join(state.select("id", "rank"), "id").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("part") * F.col("rank")).alias("got"))
-        moved = state.join(given, "id", "left").select("id", "out", F.col("rank").alias("old"), F.coalesce("got", F.lit(0.0)).alias("got"))
+        moved = state.select("id", "rank", "out").join(given, "id", "left").select("id", "out", F.col("rank").alias("old"), F.coalesce("got", F.lit(0.0)).alias("got"))
         # one row: what every vertex gets besides
         if variant == "standard":
             rest = state.agg(((1 - link_prob * F.sum(F.when(F.col("out") > 0, F.col("rank")).otherwise(0.0))) / n).alias("rest"))
         else:
             rest = state.agg((F.sum(F.col("rank") / (own + link_prob * F.col("out"))) * own / n).alias("rest"))
-        state = stage(moved.join(F.broadcast(rest)).select("id", (F.col("got") + F.col("rest")).alias("rank"), "out", "old"), "rank")
+        last, state = state, stage(moved.join(F.broadcast(rest)).select("id", (F.col("got") + F.col("rest")).alias("rank"), "out", "old"), "rank")
+        discard(last)
         if state.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] <= epsilon:
             break
-        state = state.drop("old")
     return state.select("id", "rank")

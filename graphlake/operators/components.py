@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlake.plans.staging import stage
+from graphlake.plans.staging import discard, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def star_contract(edges: DataFrame, src: str = "src", dst: str = "dst", max_roun
         if mark == before or not mark[0]:
             break
         before = mark
-        state = stage(_small_star(_large_star(state)), "star")
+        last, state = state, stage(_small_star(_large_star(state)), "star")
+        discard(last)
     else:
         raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
     return state.select(F.col("u").alias("node"), F.col("v").alias("root"))

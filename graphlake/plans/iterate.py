@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from graphlake.plans.staging import stage
+from graphlake.plans.staging import discard, stage
 
 
 def fixpoint(step: Callable[[DataFrame, int], DataFrame], state: DataFrame, measure: Callable[[DataFrame], object] | None = None, max_rounds: int = 1000, label: str = "round") -> DataFrame:
@@ -18,7 +18,8 @@ def fixpoint(step: Callable[[DataFrame, int], DataFrame], state: DataFrame, meas
     state = stage(state, label)
     before = measure(state) if measure else None
     for i in range(max_rounds):
-        state = stage(step(state, i), label)
+        last, state = state, stage(step(state, i), label)
+        discard(last)
         if measure:
             now = measure(state)
             if now == before:

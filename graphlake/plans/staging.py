@@ -25,13 +25,33 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_DEFAULT
 
 
-def stage_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/stage/{label}-{uuid.uuid4().hex}"
+def stage_root(spark: SparkSession) -> str:
+    """The folder of this application's staged tables."""
+    return f"{shared_dir(spark)}/stage/{spark.sparkContext.applicationId}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return a reader of it."""
     spark = df.sparkSession
-    path = stage_path(spark, label)
+    path = f"{stage_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a staged table that nothing will read again, as a loop's last round but one."""
+    path = getattr(df, "_staged_at", None)
+    if path is not None:
+        _delete(df.sparkSession, path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all staged tables of this application; results not yet written can't be read afterwards."""
+    _delete(spark, stage_root(spark))
