@@ -1,0 +1,398 @@
+"""The corpus operators against brute force, on small tables with the awkward cases."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from graphlake.llm import decontaminate, exact_dedup, katz, kernel, language, license_scan, minhash, mixing, pii, queries, substring_dedup, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, key string, digest string, span string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LETTER_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def low(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(["the", "of", "Orin", "éan", "ble", "ing", "tion.", "re", "an", "est,", "wh", "Ñat"]) + rng.choice(["", "a", "o", "ia", "eu", "x"]) for _ in range(n))
+
+
+def corpus():
+    rng = random.Random(7)
+    texts = [prose(rng, rng.choice([3, 12, 60, 200])) for _ in range(60)]
+    texts += [texts[3], texts[3].upper(), texts[7], None, "", " \n\t", "É", "a b c", "a  B c\n", "x" * 5000]
+    near = texts[58] + " " + prose(rng, 120)
+    words = near.split(" ")
+    for k in (10, 50, 90):
+        texts.append(" ".join([*words[:k], "changed", *words[k + 1 :]]))
+    texts.append(near)
+    texts.append(prose(rng, 20_000))
+    return texts
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """With repeated rows, a null identifier and extra columns whose names clash with those inside the operators."""
+    texts = corpus()
+    rows = [(i, t, "en" if i % 2 else "de", f"s{i % 3}" if i % 7 else None, len(t or ""), "x", "y", "z", "w") for i, t in enumerate(texts)]
+    rows += [rows[5], rows[5], (None, "null id", None, "s0", 7, "x", "y", "z", "w")]
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_kernel_words_and_windows():
+    texts = ["Ab  c\x0bd", "", " é ", "ab c D"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *[len(t.encode()) for t in texts]])
+    w = kernel.words(raw, offsets)
+    assert [raw[a:b].tobytes().decode() for a, b in zip(w.start, w.end, strict=True)] == ["Ab", "c", "d", "é", "ab", "c", "D"]
+    assert w.first.tolist() == [0, 3, 3, 4, 7] and w.hash[0] == w.hash[4] and w.hash[2] == w.hash[6] and len(set(w.hash.tolist())) == 4
+    assert kernel.windows(w.hash[:3], 2)[0] == kernel.windows(w.hash[4:], 2)[0]
+    s = kernel.sequence_hash(w.hash, w.first)
+    assert s[0] == s[3] != s[2]
+    assert list(kernel.blocks(offsets, 6)) == [(0, 1), (1, 3), (3, 4)]
+
+
+def test_exact_dedup(spark, docs):
+    found = exact_dedup.find_copies(docs, keep="largest", fan_bits=1).collect()
+    rows = [(r.doc_id, low(r.text)) for r in docs.collect()]
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    assert len(found) == len(rows) and sum(r.kept for r in found) == len(groups)
+    for r in found:
+        text = next(t for i, t in rows if i == r.id)
+        assert r.group_size == len(groups[text]) and r.keep_id == max((x for x in groups[text] if x is not None), default=None)
+        assert bytes(r.digest).hex() == hashlib.sha256(text.encode()).hexdigest()
+    left = exact_dedup.drop_copies(docs)
+    assert left.columns == docs.columns and Counter(low(r.text) for r in left.collect()) == dict.fromkeys(groups, 1)
+    assert exact_dedup.find_copies(empty(spark)).count() == 0 and exact_dedup.drop_copies(empty(spark)).count() == 0
+
+
+def test_decontaminate(spark, docs):
+    texts = corpus()
+    first = LETTER_WORD.findall(low(texts[74]))
+    items = [(1, " ".join(first[30:45])), (2, "É"), (3, None), (4, "!!"), (10, " ".join(first[33:60])), (None, " ".join(first[70:85])), (5, "not in any document at all, this one")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    grams = [(i, tuple(w[s : s + min(10, len(w))])) for i, t in items for w in [LETTER_WORD.findall(low(t))] if w for s in range(len(w) - min(10, len(w)) + 1)]
+    got = decontaminate.score(docs, bench).collect()
+    assert len(got) == docs.count()
+    by = {r.id: r for r in got if r.id is not None}
+    for i, t in enumerate(texts[:-1]):
+        w = LETTER_WORD.findall(low(t))
+        hit, ids = set(), set()
+        for item, g in grams:
+            for s in range(len(w) - len(g) + 1):
+                if tuple(w[s : s + len(g)]) == g:
+                    hit |= set(range(s, s + len(g)))
+                    ids |= {str(item)} - {"None"}
+        assert (by[i].n_words, by[i].n_hit, by[i].items, by[i].contaminated) == (len(w), len(hit), sorted(ids), bool(hit)), i
+    small = decontaminate.score(docs, bench, broadcast_windows=0)
+    assert sorted((str(r.id), r.n_hit) for r in small.collect()) == sorted((str(r.id), r.n_hit) for r in got)
+    left = decontaminate.remove(docs, bench)
+    assert left.columns == docs.columns and left.count() == docs.count() - sum(r.contaminated for r in got)
+    cut = {r.doc_id: r.text for r in decontaminate.remove(docs, bench, "spans").collect()}
+    w = LETTER_WORD.findall(low(cut[74]))
+    assert len(w) == by[74].n_words - by[74].n_hit and cut[0] == texts[0] and cut[63] is None
+    assert decontaminate.score(docs, empty(spark).select(F.col("doc_id").alias("item_id"), "text")).where("contaminated").count() == 0
+    assert decontaminate.score(empty(spark), bench).count() == 0
+
+
+def test_near_duplicates(spark, docs):
+    rows = [(r.doc_id, WORD.findall(low(r.text))) for r in docs.collect()]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set() for i, w in rows if i is not None}
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = minhash.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.id is not None:
+            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.id]), find(r.id), r.id == find(r.id)), r
+    left = minhash.drop_near_duplicates(docs)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {None} | {i for i in ids if find(i) == i}
+    assert minhash.near_duplicates(empty(spark)).count() == 0
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(docs, bands=5)
+
+
+def test_later_stars_find_what_the_first_centre_misses(spark):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    edit = lambda lo, hi: " ".join(f"x{rng.random()}" if lo <= i < hi else w for i, w in enumerate(base))
+    rows = [(1, edit(0, 24)), (2, edit(100, 112)), (3, edit(112, 124))]
+    got = {r.id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(196)} for i, t in rows for w in [t.split()]}
+    assert len(sets[2] & sets[3]) * 100 >= 75 * len(sets[2] | sets[3]) and got[2] == got[3]
+
+
+def test_mixing(spark, docs):
+    sources = spark.createDataFrame([("a", 100), ("b", 100), ("c", 1000), (None, 10)], "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(sources).collect()}
+    # weights 1, 2, 3, 1: c gets 3 / 7 of all until others reach three times their size
+    assert abs(sum(got.values()) - 1210) < 1e-6 and all(got[s] <= 3 * n + 1e-9 for s, n in (("a", 100), ("b", 100), ("c", 1000), (None, 10)))
+    assert got["b"] == 300 and got[None] == 30 and abs(got["c"] / got["a"] - 3) < 1e-9
+    rows = mixing.mix(docs).collect()
+    again = mixing.mix(docs.repartition(3)).collect()
+    assert Counter((r.id, r.taken) for r in rows) == Counter((r.id, r.taken) for r in again)
+    assert sum(r.size for r in rows) == sum(len(WORD.findall(r.text or "")) for r in docs.collect())
+    taken, target = Counter(), {}
+    for r in rows:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 3 * r.size
+    assert all(taken[s] == math.floor(target[s]) for s in target)
+    mixed = mixing.take(docs)
+    assert sum(r.taken for r in mixed.collect()) == sum(taken.values())
+    assert all(len(WORD.findall(r.text)) == r.taken for r in mixed.collect())
+    assert mixing.mix(empty(spark)).count() == 0 and mixing.take(empty(spark)).count() == 0
+
+
+def test_katz(spark, docs):
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    tokens = {r.doc_id: WORD.findall(low(r.text)) + ["</s>"] for r in unique.collect()}
+    out = {i for i in tokens if zlib.crc32(str(i).encode()) % 7 == 2}
+    uni, big, hist = Counter(), Counter(), Counter()
+    for i in tokens.keys() - out:
+        uni.update(tokens[i])
+        for h, w in zip(["<s>", *tokens[i]], tokens[i], strict=False):
+            big[h, w] += 1
+            hist[h] += 1
+    n, v, of = sum(uni.values()), len(uni), Counter(big.values())
+    d = katz.discounts([of[r] for r in range(1, 7)])
+    p1 = lambda w: (uni[w] + 1) / (n + v + 1)
+    kept, mass = defaultdict(float), defaultdict(float)
+    for (h, w), c in big.items():
+        mass[h] += p1(w)
+        kept[h] += (d[c - 1] if c <= 5 else 1) * c / (hist[h] + 1)
+
+    def p(h, w):
+        c = big[h, w]
+        if c:
+            return (d[c - 1] if c <= 5 else 1) * c / (hist[h] + 1)
+        return (1 - kept[h]) / (1 - mass[h]) * p1(w) if hist[h] else p1(w)
+
+    # a history's probabilities, with one share for all unknown words, sum to one
+    for h in ("<s>", "the", "tion."):
+        assert abs(sum(p(h, w) for w in uni) + p(h, "\0") - 1) < 1e-9
+    for bits in (19, 2):  # with all words told by rank, and with most looked up by hash
+        katz.FREQUENT_BITS, before = bits, katz.FREQUENT_BITS
+        try:
+            got = katz.score(unique, held).collect()
+        finally:
+            katz.FREQUENT_BITS = before
+        assert len(got) == len(tokens)
+        for r in got:
+            t = tokens[r.id]
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (r.id in out, len(t), sum(uni[w] > 0 for w in t), n)
+            assert abs(r.base_score - sum(math.log10(p1(w)) for w in t)) < 1e-6 * len(t)
+            assert abs(r.score - sum(math.log10(p(h, w)) for h, w in zip(["<s>", *t], t, strict=False))) < 1e-6 * len(t)
+    assert katz.score(docs, held).count() == docs.count()
+    nulls = spark.range(9000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text")).coalesce(1)
+    assert katz.score(nulls, F.lit(False)).select("score", "base_score", "n_known").distinct().count() == 1
+    assert katz.score(empty(spark), held).count() == 0
+
+
+PATTERNS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(re.sub("[^0-9]", "", m)) <= 19 and pii._luhn(re.sub("[^0-9]", "", m).encode())),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(re.sub("[^0-9]", "", m)) <= 15),
+]
+
+
+def test_pii_base_spans(spark):
+    rng = random.Random(5)
+    bits = ["a@b.c", "@", "x.y", "1.2.3.4", "256.1.1.1", ".", "4111 1111 1111 1111", "-", "+1 (555) 010-9999", "é", " ", "b@c", "1", "00000000000000", "+", "%", "\n", "a@b.c.d@e.f", "1.2.3.4.5.6.7.8"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 14))) for _ in range(400)] + [None, "", "9" * 4000, "a" * 4000 + "@" + "b" * 4000 + ".c"]
+    got = {r.id: r.spans for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    for i, t in enumerate(texts):
+        want = sorted((m.start(), k, m.end()) for k, (_, p, fine) in enumerate(PATTERNS) for m in re.finditer(p, t or "") if fine(m.group()))
+        assert [tuple(s) for s in got[i] if s.kind < 4] == want, t
+
+
+def test_pii_terms(spark):
+    rows = [(i, f"zorblax wrote from a@b.org number {i} today") for i in range(4)] + [(10 + i, f"wrote from home number {i} today") for i in range(40)] + [(60, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: [tuple(s) for s in r.spans] for r in pii.find(table).collect()}
+    assert got[0] == [(0, 4, 7), (19, 0, 26)] and got[10] == []
+    clean = {r.doc_id: r.text for r in pii.sanitise(table).collect()}
+    assert clean[0] == "<TERM> wrote from <EMAIL> number 0 today" and clean[10] == rows[4][1] and clean[60] is None
+    assert {r.doc_id: r.text for r in pii.sanitise(table, "remove").collect()}[1] == " wrote from  number 1 today"
+    assert pii.find(empty(spark)).count() == 0
+
+
+def test_segments_are_all_maximal():
+    rng = random.Random(1)
+    for _ in range(200):
+        n = rng.randrange(1, 30)
+        x = [rng.choice([-1.0, -0.5, 0.7, 1.5, 0.0]) for _ in range(n)]
+        at = [i for i in range(n) if x[i] not in (-0.5,)]
+        got = toxicity.segments(np.array([x[i] for i in at]), np.array(at), 0.5)
+
+        def best(lo, hi):
+            """Recursively: the segment of greatest sum, the shortest of several, then those left and right of it."""
+            top = None
+            for a in range(lo, hi):
+                s = 0.0
+                for b in range(a, hi):
+                    s += x[b]
+                    if s > 1e-9 and (top is None or s > top[2] + 1e-9 or (abs(s - top[2]) < 1e-9 and b - a < top[1] - top[0])):
+                        top = (a, b, s)
+            return [] if top is None else [*best(lo, top[0]), top, *best(top[1] + 1, hi)]
+
+        assert abs(max((s for *_, s in got), default=0) - max((s for *_, s in best(0, n)), default=0)) < 1e-9
+        assert abs(sum(s for *_, s in got) - sum(s for *_, s in best(0, n))) < 1e-6
+
+
+def test_toxicity(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(900):
+        toxic = i % 6 == 0
+        words = prose(rng, 60).split(" ")
+        if toxic:
+            k = rng.randrange(50)
+            words[k : k + 2] = [rng.choice(["vile", "foul"]), rng.choice(["scoundrel", "knave"])]
+        rows.append((i, " ".join(words), int(toxic)))
+    table = spark.createDataFrame(rows, "id long, text string, label int").withColumn("doc_id", F.col("id"))
+    model = toxicity.fit(table.where("id < 600"))
+    got = {r.id: r for r in toxicity.score(table, model).collect()}
+    right = [got[i].predicted == y for i, _, y in rows if i >= 600]
+    assert sum(right) / len(right) > 0.97
+    spans = [p for i, _, y in rows if i >= 600 and y for p in got[i].passages]
+    assert spans and all(p.last_word - p.first_word < 20 and p.expected < 0.05 for p in spans)
+    odd = spark.createDataFrame([(1, None, "k"), (2, "", "k"), (3, "!!", "k"), (4, "vile knave " * 3000, "k")], "doc_id long, text string, score string")
+    scores = {r.id: r.score for r in toxicity.score(odd, model).collect()}
+    assert scores[1] == scores[2] == scores[3] < 0.5 < scores[4] <= 1
+    left = toxicity.drop_toxic(odd, model)
+    assert left.columns == odd.columns and {r.doc_id for r in left.collect()} == {1, 2, 3}
+    none = toxicity.fit(table.where("id < 0"))
+    assert {r.predicted for r in toxicity.score(odd, none).collect()} <= {0, 1}
+    assert toxicity.score(odd.where("doc_id < 0"), model).count() == 0
+
+
+def test_license_scan(spark, docs):
+    lines = ["It is Licensed under CC-BY 4.0, all rights reserved. All Rights Reserved", "Released under the MIT License.", "this work is licensed under the gnu general public license, version 3.", None, "", "cc", "rights reserved all", "licensed under very special new gnu general public license version 3"]
+    got = {r.doc_id: r for r in queries_on(spark, lines).collect()}
+    assert (got[0].n_base, got[0].first_word, got[0].last_word, got[0].base_labels) == (3, 4, 11, "cc-by,reserved") and got[0].score == 1
+    assert got[1].base_labels == "" and got[1].labels == "mit" and 0.5 < got[1].score <= 1
+    assert "gpl-3.0" in got[2].labels and got[2].base_labels == "gpl"
+    assert all(got[i].labels == "" and got[i].score == 0 and got[i].n_base == 0 and got[i].first_word is None for i in (3, 4, 5, 6))
+    for i, t in enumerate(lines):
+        w = LETTER_WORD.findall(low(t))
+        n = sum(w[s : s + len(p.split())] == p.split() for p in license_scan.PHRASES for s in range(len(w)))
+        assert got[i].n_base == n and got[i].n_words == len(w)
+    assert license_scan.scan(docs).count() == docs.count() and license_scan.scan(empty(spark)).count() == 0
+
+
+def queries_on(spark, texts):
+    """The license query over these texts."""
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before, queries._table = queries._table, lambda *_: table
+    try:
+        return queries.op7_license_scan(spark, "")
+    finally:
+        queries._table = before
+
+
+def test_substring_dedup(spark):
+    rng = random.Random(4)
+    shared = " ".join(f"word{rng.randrange(10**6)}" + rng.choice(["", "", "", "", ".", ","]) for _ in range(70))
+    plain = " ".join(f"flat{rng.randrange(10**6)}" for _ in range(70))  # no punctuation
+    own = [" ".join(f"own{rng.randrange(10**9)}" + rng.choice(["", "", "", "."]) for _ in range(60)) for _ in range(8)]
+    texts = {1: own[0] + " " + shared + " " + own[1], 2: shared, 3: own[2] + " " + shared + " " + own[3] + " " + plain, 4: own[4], 5: own[5] + " " + plain + " tail", 6: None, 7: "", 8: "Yes. No. Yes.", 9: "Yes. No. Yes.", 10: own[6] + ". " + own[6] + "."}
+    table = spark.createDataFrame([(i, t, "k") for i, t in texts.items()], "doc_id long, text string, hash string").repartition(4)
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(table, counts=True).collect()}
+    for i in (1, 4, 6, 7, 8, 9):
+        assert got[i].text == texts[i] and got[i].n_removed == 0, i
+    held = lambda i, words: sum(w in set((got[i].text or "").split()) for w in words.split())
+    assert held(2, shared) <= 18 and held(3, shared) <= 18 and held(5, plain) <= 18 and held(3, plain) == 70
+    assert held(3, own[2]) >= 51 and held(5, own[5]) >= 51
+    assert len(got[10].text.split()) <= 60 + 9 and got[10].n_removed > 0
+    assert substring_dedup.remove_repeats(table).columns == table.columns
+    assert substring_dedup.remove_repeats(empty(spark)).count() == 0
+    same = spark.createDataFrame([(1, shared), (1, shared)], "doc_id long, text string")
+    assert [r.text for r in substring_dedup.remove_repeats(same).collect()] == [shared, shared]
+
+
+def test_cross_parsing():
+    model = language.Model({"a": b"abcabcab", "b": b"xyzxyz"})
+    raw = np.frombuffer(b"abcaxyz", np.uint8)
+    # a: abca | x | y | z; b: a | b | c | a | xyz
+    assert model.phrases(raw, np.array([0, 7])).tolist() == [[4, 5]]
+    rng = random.Random(6)
+    sample = "".join(rng.choice("abc ") for _ in range(300))
+    text = "".join(rng.choice("abcd ") for _ in range(500)).replace("  ", " ").strip()
+    model = language.Model({"q": sample.encode()})
+    known = language.letters(np.frombuffer(sample.encode(), np.uint8), np.array([0, len(sample)]))[0].tobytes().decode()
+    folded = language.letters(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0].tobytes().decode()
+    i = n = 0
+    while i < len(folded):
+        k = 1
+        while i + k < len(folded) and folded[i : i + k + 1] in known:
+            k += 1
+        i, n = i + k, n + 1
+    assert model.phrases(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])).tolist() == [[n]]
+
+
+def test_language(spark):
+    rng = random.Random(8)
+    kinds = {"aa": ["bra", "ko", "ti", "um"], "bb": ["zee", "vij", "oor", "lag"], "cc": ["nna", "ché", "glio", "ss"]}
+    word = lambda k: "".join(rng.choice(kinds[k]) for _ in range(rng.randrange(1, 4)))
+    rows = [(i, " ".join(word(k) for _ in range(30)), k) for i in range(150) for k in [rng.choice(list(kinds))]]
+    table = spark.createDataFrame(rows, "id long, text string, lang string")
+    model = language.fit(table.where("id < 100"))
+    shout = table.select("id", F.upper(F.regexp_replace("text", " ", "!! ")).alias("text"))
+    for t in (table, shout):
+        got = {r.id: r for r in language.identify(t, model, "id").collect()}
+        assert all(got[i].lang == k and 0 <= got[i].score <= 1 for i, _, k in rows if i >= 100)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !!"), (4, "é"), (5, "brako " * 20_000)], "doc_id long, text string")
+    assert {r.id: r.lang == "und" for r in language.identify(odd, model).collect()} == {1: True, 2: True, 3: True, 4: False, 5: False}
+    nothing = language.fit(table.where("lang is null"))
+    assert {r.lang for r in language.identify(odd, nothing).collect()} == {"und"}
+    assert language.identify(odd.where("doc_id < 0"), model).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sf, stages = "/root/testdata/sf0.001", corpus_pipeline.STAGES
+    assert [n for n, _ in stages] == ["toxicity", "exact dedup", "near dedup", "decontamination", "mixing"]
+    table, texts = docs, None
+    for name, apply in stages[:-1]:
+        out = apply(spark, table, sf)
+        assert out.columns == docs.columns
+        out = spark.createDataFrame(out.collect(), docs.schema)
+        assert {r.doc_id for r in out.collect()} <= {r.doc_id for r in table.collect()}
+        if name == "exact dedup":
+            texts = Counter(low(r.text) for r in out.collect())
+            assert max(texts.values()) == 1 and len(texts) == len({low(r.text) for r in table.collect()})
+        table = out
+    mixed = stages[-1][1](spark, table, sf).collect()
+    assert {r.doc_id for r in mixed} <= {r.doc_id for r in table.collect()}
+    assert Counter(r.doc_id for r in mixed).most_common(1)[0][1] <= 3
