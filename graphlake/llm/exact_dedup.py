@@ -43,7 +43,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nor
 
 def _best(keep: str) -> Column:
     """Orders identifiers so that the least value of it is kept; then the first row."""
-    wanted = F.col("id") if keep == "smallest" else -F.col("id")
+    wanted = F.col("id") if keep == "smallest" else F.bitwise_not("id")  # turns the order of integers, without overflow
     return F.struct(F.col("id").isNull().alias("none"), wanted.alias("rank"), F.col("row"))
 
 
@@ -75,7 +75,7 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = stage(digests(docs, id_col, text_col, normalise), "dedup-digests")
     decided = merge_runs(rows, keep, fan_bits).withColumnRenamed("run", "of_run")
     same = [F.col(f"r.{k}") == F.col(f"m.{k}") for k in KEY]
-    best = F.col("m.best.rank") if keep == "smallest" else -F.col("m.best.rank")
+    best = F.col("m.best.rank") if keep == "smallest" else F.bitwise_not("m.best.rank")
     return (
         rows.alias("r")
         .join(decided.alias("m"), [F.col("r.run") == F.col("m.of_run"), *same])
