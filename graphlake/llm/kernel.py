@@ -129,13 +129,6 @@ def sequence_hash(hashes: np.ndarray, first: np.ndarray, salt: int = 1) -> np.nd
     return range_hash(hashes, first[:-1], first[1:], salt)
 
 
-def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sum of the values of each row's words; 0 for a row without."""
-    total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
-    np.cumsum(values, out=total[1:])
-    return total[first[1:]] - total[first[:-1]]
-
-
 def range_hash(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray, salt: int = 1) -> np.ndarray:
     """An order-sensitive hash of the words lo[i]..hi[i]-1 of each range."""
     n = len(hashes)
