@@ -8,8 +8,9 @@ Documents with equal word sequences are one class, whose representative is the l
 stars: in each bucket every representative is joined to its centre, never to all others, so there are at most
 ``bands * stars`` candidates per representative whatever the bucket's size. Stars are laid in rounds: the centre of
 the first is the least identifier, those of later ones are least by another hash per band, and a later star is only
-verified between different components, so links that a first centre misses are found while pairs stay bounded. Each
-candidate is confirmed on the full sets.
+verified between different components. Members of a bucket that are in different components after the last star, and of
+which none was a centre, have not been compared: they are joined exactly, by the rare shingles of which two similar
+sets must share one (prefix filter). Each candidate is confirmed on the full sets.
 
 Sets travel only for documents in some bucket with another, told by a Bloom filter of fixed size (``kernel.BLOOM_WORDS``
 64-bit words): where it is full it passes more rows, never fewer.
@@ -36,6 +37,7 @@ THRESHOLD = 75  # per cent
 BANDS, ROWS = 32, 4
 STARS = 3
 BITS = 52
+COUNTERS = 1 << 20  # of shingles, by hash: they only order shingles, so any number is right
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, w: int = WORDS) -> tuple[np.ndarray, np.ndarray, K.Words]:
@@ -152,6 +154,55 @@ def _confirm(threshold: int):
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at, n): how many shingles of the sets have each counter."""
+    table = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for x in _unpack(batch.column("set")):
+            np.add.at(table, (K.mix(x) % np.uint64(COUNTERS)).astype(np.int64), 1)
+    at = np.flatnonzero(table)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["at", "n"])
+
+
+def _rare_pairs(sets: DataFrame, known: DataFrame, threshold: int) -> DataFrame:
+    """(u, v) of different components whose sets can reach the threshold: all that do are among them.
+
+    Shingles are ordered by counter, rare ones first. Of two sets that reach t, the larger has one of the smaller's first
+    n - 2t/(1+t) n + 1 shingles among its own first n - tn + 1.
+    """
+    got = sets.select("set").mapInArrow(_counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counter = np.zeros(COUNTERS, np.int32)
+    counter[got.column("at").to_numpy()] = np.minimum(got.column("n").to_numpy(), 2**31 - 1)
+    table = sets.sparkSession.sparkContext.broadcast(counter)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                rows = []
+                for x in _unpack(part.column("set")):
+                    often = table.value[(K.mix(x) % np.uint64(COUNTERS)).astype(np.int64)]
+                    n = len(x)
+                    first = np.lexsort((x, often))[: n - -(-threshold * n // 100) + 1]
+                    narrow = np.arange(len(first)) < n - -(-2 * threshold * n // (100 + threshold)) + 1
+                    met = often[first] > 1  # a shingle alone in its counter is in no other set
+                    rows.append((x[first][met], narrow[met], n))
+                reps = [len(r[0]) for r in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(part.column("id").to_numpy(), reps)), pa.array(np.repeat(part.column("root").to_numpy(), reps)), pa.array(np.repeat(np.array([r[2] for r in rows], np.int64), reps)),
+                        pa.array(np.concatenate([r[0] for r in rows]).astype(np.int64)), pa.array(np.concatenate([r[1] for r in rows])),
+                    ], ["id", "root", "n", "shingle", "narrow"],
+                )
+
+    rooted = sets.join(known.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "set")
+    rare = stage(rooted.mapInArrow(run, "id long, root long, n long, shingle long, narrow boolean"), "minhash-rare")
+    small = rare.where("narrow").select("shingle", F.col("id").alias("v"), F.col("root").alias("rv"), F.col("n").alias("vn"))
+    large = rare.select("shingle", F.col("id").alias("u"), F.col("root").alias("ru"), F.col("n").alias("un"))
+    met = large.join(small, "shingle").where("ru <> rv and (un > vn or (un = vn and u > v))").where(F.col("vn") * 100 >= F.col("un") * threshold)
+    return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w: int = WORDS, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, stars: int = STARS) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept. Identifiers are integers."""
     if bands * rows & (bands * rows - 1):
@@ -183,17 +234,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             root = known.select(F.col("node"), F.col("root"))
             todo = todo.join(root.withColumnsRenamed({"node": "u", "root": "ru"}), "u", "left").join(root.withColumnsRenamed({"node": "v", "root": "rv"}), "v", "left")
             todo = todo.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
-        full = todo.join(sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v").join(sets.select(F.col("id").alias("u"), F.col("set").alias("a")), "u")
-        true = full.select("u", "v", "a", "b").mapInArrow(_confirm(threshold), "u long, v long")
+        true = _true(todo, sets, threshold)
         edges = true if links is None else true.unionByName(links)
         known = star_contract(edges, "u", "v")
         links = known.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    # members of a bucket that were never compared: no centres, of different components
+    rest = met.where(~F.col("rep").isin(*[_centre(s) for s in range(stars)])).select("bucket", "rep")
+    rest = rest.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
+    apart = rest.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
+    rest = stage(rest.join(apart, "bucket", "left_semi").select(F.col("rep").alias("id")).distinct(), "minhash-rest")
+    if not rest.isEmpty():
+        lacking = rest.join(involved.withColumnRenamed("u", "id"), "id", "left_anti")  # sizes ruled all their centres out
+        left = sets.join(rest, "id", "left_semi").unionByName(_sets(docs, id_col, text_col, lacking, w).join(lacking, "id", "left_semi"))
+        left = stage(left, "minhash-rest-sets")
+        todo = stage(_rare_pairs(left, known, threshold), "minhash-rest-pairs")
+        known = star_contract(_true(todo, left, threshold).unionByName(links), "u", "v")
     own = classes.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("root", "rep").alias("component"))
     out = sketch.select("id", "n", "d1", "d2").join(own, ["d1", "d2", "n"], "left")
     component = F.when((F.col("n") == 0) | F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "id"))
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
+def _true(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
+    full = pairs.join(sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v").join(sets.select(F.col("id").alias("u"), F.col("set").alias("a")), "u")
+    return full.select("u", "v", "a", "b").mapInArrow(_confirm(threshold), "u long, v long")
+
+
 def _order(s: int):
     """The order in which a bucket chooses the centre of its star s: the identifier itself, or with bits flipped by bucket and star."""
     return F.col("rep") if s == 0 else F.col("rep").bitwiseXOR(F.xxhash64("bucket", F.lit(s)))

@@ -148,6 +148,34 @@ def test_later_stars_find_what_the_first_centre_misses(spark):
     assert len(sets[2] & sets[3]) * 100 >= 75 * len(sets[2] | sets[3]) and got[2] == got[3]
 
 
+def test_links_in_crowded_buckets(spark):
+    """A template held by all, nearly similar enough to link all, and pairs that are a little more alike."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(500)]
+    cuts = lambda k: [(i, f"x{rng.random()}") for i in sorted(rng.sample(range(0, 500, 6), k))]
+    apply = lambda *edits: " ".join(dict([*enumerate(base), *[e for es in edits for e in es]])[i] for i in range(500))
+    rows = [apply(cuts(10)) for _ in range(400)]
+    for _ in range(40):
+        own = cuts(2)
+        rows += [apply(own, cuts(7)), apply(own, cuts(7))]
+    sets = [{tuple(w[k : k + 5]) for k in range(496)} for w in map(str.split, rows)]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.id: r.component_id for r in minhash.near_duplicates(table).collect()}
+    assert 5 < len({find(i) for i in range(len(rows))}) < len(rows) and got == {i: find(i) for i in range(len(rows))}
+
+
 def test_mixing(spark, docs):
     sources = spark.createDataFrame([("a", 100), ("b", 100), ("c", 1000), (None, 10)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sources).collect()}
