@@ -1,10 +1,10 @@
 """Information-theoretic sanitisation of personal data.
 
-Protected entities are the e-mail addresses, IP addresses, card and telephone numbers that patterns find. A term near an entity
+Protected entities are the e-mail addresses, IP addresses, card and telephone numbers that patterns find. A term in an entity's documents
 reveals it to the degree that seeing the term makes the entity likely: with document counts over the whole corpus,
 disclosure(t, e) = PMI(t; e) / IC(e) = 1 + log2 P(e | t) / log2 (N / n(e)), 1 if the term only occurs with the entity. Terms whose
 disclosure reaches ``threshold``, seen with the entity in at least ``support`` different contexts, are spans of kind
-``term`` wherever they stand near it. ``sanitise`` generalises a span to the name of its kind or removes it.
+``term`` wherever they stand, in every document. ``sanitise`` generalises a span to the name of its kind or removes it.
 
 Null and empty texts have no spans. Rows that share an identifier are told apart by their text. Other columns pass
 through ``sanitise`` untouched.
@@ -26,7 +26,8 @@ from graphlake.llm.toxicity import MEMBER
 from graphlake.plans.staging import stage
 
 KINDS = ("email", "ip", "card", "phone", "term")
-NEAR = 8  # words on either side of an entity that are its context
+NEAR = 8  # words on either side of an entity that are its context, which only tells copies from new mentions
+FREQUENT = 1 << 16  # most frequent terms whose counts rule pairs out early
 THRESHOLD, SUPPORT = 0.8, 2
 
 _DOMAIN = re.compile(rb"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -84,8 +85,8 @@ def _joined(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, start
 
 
-_MENTION = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("entity", pa.int64()), ("context", pa.int64()), ("terms", pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])))])
-MENTIONS = "array<struct<kind:int,start:bigint,end:bigint,entity:bigint,context:bigint,terms:array<struct<term:bigint,start:bigint,end:bigint>>>>"
+_MENTION = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("entity", pa.int64()), ("context", pa.int64())])
+MENTIONS = "array<struct<kind:int,start:bigint,end:bigint,entity:bigint,context:bigint>>"
 
 
 def _mentions(batches):
@@ -118,22 +119,70 @@ def _mentions(batches):
                         context = int(K.sequence_hash(h, np.array([0, len(h)]), 3).view(np.int64)[0])
                         entity = int.from_bytes(blake2b(bytes([kind]) + value, digest_size=8).digest(), "little", signed=True)
                         base = point[s]
-                        terms = [{"term": int(t), "start": int(point[x] - base), "end": int(point[y] - base)} for t, x, y in zip(h.view(np.int64), ws[near], we[near], strict=True)]
-                        out[r].append({"kind": kind, "start": int(point[a] - base), "end": int(point[b] - base), "entity": entity, "context": context, "terms": terms})
+                        out[r].append({"kind": kind, "start": int(point[a] - base), "end": int(point[b] - base), "entity": entity, "context": context})
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), batch.column("key").slice(lo, hi - lo), pa.array(out, pa.list_(_MENTION))], ["id", "key", "mentions"])
 
 
-def _document_counts(known):
+def _known_words(known):
+    """(id, key, term, start, end) of every word that ``known`` may hold; offsets are code points."""
+
     def work(batches):
         for batch in batches:
             raw, offsets = K.text_bytes(batch.column("text"))
             for lo, hi in K.blocks(offsets):
                 at = offsets[lo : hi + 1]
-                w = K.words(raw[at[0] : at[-1]], at, MEMBER)
+                block = raw[at[0] : at[-1]]
+                w = K.words(block, at, MEMBER)
                 keep = K.bloom_has(known.value, w.hash.view(np.int64))
-                h, row = w.hash[keep], w.row[keep]
-                _, pick = np.unique(K.mix(h ^ K.mix(row.astype(np.uint64))), return_index=True)
-                term, n = np.unique(h[pick], return_counts=True)
+                row = w.row[keep]
+                point = np.zeros(len(block) + 1, np.int64)
+                np.cumsum((block & 0xC0) != 0x80, out=point[1:])
+                base = point[at[:-1] - at[0]][row]
+                take = pa.array(row + lo)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("key").take(take), pa.array(w.hash[keep].view(np.int64)), pa.array(point[w.start[keep]] - base), pa.array(point[w.end[keep]] - base)], ["id", "key", "term", "start", "end"])
+
+    return work
+
+
+def _document_terms(frequent, total: int, threshold: float):
+    """(id, key, entity, context, term): each known entity of a document with each distinct word outside entities.
+
+    As n_both <= n_entity, a term of more than n_entity * (total / n_entity) ** (1 - threshold) documents can't reveal the
+    entity: of the terms in ``frequent`` (sorted, and their counts) those are left out.
+    """
+
+    def work(batches):
+        for batch in batches:
+            entity_of, context_of, count_of, spans_of = (batch.column(c).to_pylist() for c in ("entities", "contexts", "counts", "spans"))
+            raw, offsets = K.text_bytes(batch.column("text"))
+            for r in range(batch.num_rows):
+                w = K.words(raw[offsets[r] : offsets[r + 1]], np.array([0, offsets[r + 1] - offsets[r]]), MEMBER)
+                point = np.zeros(offsets[r + 1] - offsets[r] + 1, np.int64)
+                np.cumsum((raw[offsets[r] : offsets[r + 1]] & 0xC0) != 0x80, out=point[1:])
+                ws, we, free = point[w.start], point[w.end], np.ones(len(w.hash), bool)
+                for x in spans_of[r]:
+                    free[np.searchsorted(we, x["start"], "right") : np.searchsorted(ws, x["end"], "left")] = False
+                h = np.unique(w.hash[free].view(np.int64))
+                terms, n = frequent.value
+                ix = np.minimum(np.searchsorted(terms, h), max(len(terms) - 1, 0))
+                often = np.where(terms[ix] == h, n[ix], 0) if len(terms) else np.zeros(len(h))
+                for e, c, m in zip(entity_of[r], context_of[r], count_of[r], strict=True):
+                    mine = h[often <= m * (total / m) ** (1 - threshold) * (1 + 1e-9)]
+                    at = pa.array(np.full(len(mine), r))
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("key").take(at), pa.array(np.full(len(mine), e, np.int64)), pa.array(np.full(len(mine), c, np.int64)), pa.array(mine)], ["id", "key", "entity", "context", "term"])
+
+    return work
+
+
+def _document_counts():
+    def work(batches):
+        for batch in batches:
+            raw, offsets = K.text_bytes(batch.column("text"))
+            for lo, hi in K.blocks(offsets):
+                at = offsets[lo : hi + 1]
+                w = K.words(raw[at[0] : at[-1]], at, MEMBER)
+                _, pick = np.unique(K.mix(w.hash ^ K.mix(w.row.astype(np.uint64))), return_index=True)
+                term, n = np.unique(w.hash[pick], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
 
     return work
@@ -144,24 +193,39 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("id"), row_key(text).alias("key"), text.alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
+    sc = docs.sparkSession.sparkContext
     table = stage(rows.mapInArrow(_mentions, f"id {kind}, key long, mentions {MENTIONS}"), "pii-mentions")
-    near = table.select("id", "key", F.explode("mentions").alias("m")).select("id", "key", "m.entity", "m.context", F.explode("m.terms").alias("t")).select("id", "key", "entity", "context", "t.term", "t.start", "t.end")
-    terms = near.select("term").distinct()
-    known = docs.sparkSession.sparkContext.broadcast(K.bloom(terms))
-    term_docs = rows.select("text").mapInArrow(_document_counts(known), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     total = table.count()
-    entities = table.select("id", "key", F.explode("mentions.entity").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    per_doc = near.groupBy("entity", "term", "id", "key").agg(F.min("context").alias("context"))
-    pairs = per_doc.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= support)
+    mentions = table.select("id", "key", F.explode("mentions").alias("m")).groupBy("m.entity", "id", "key").agg(F.min("m.context").alias("context"))
+    entities = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.count_distinct("context").alias("contexts"))
+    entities = stage(entities.where(F.col("contexts") >= support).drop("contexts"), "pii-entities")  # the others have no term of that support
+    per_row = mentions.join(entities, "entity").groupBy("id", "key").agg(F.collect_list("entity").alias("entities"), F.collect_list("context").alias("contexts"), F.collect_list("n_entity").alias("counts"))
+    spans = F.transform("mentions", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias("spans")
+    per_row = per_row.withColumnsRenamed({"id": "of", "key": "of_key"}).join(table.select("id", "key", spans).dropDuplicates(["id", "key"]), F.col("of").eqNullSafe(F.col("id")) & (F.col("of_key") == F.col("key"))).drop("id", "key")
+    per_row = stage(per_row, "pii-entities")
+    some = sc.broadcast(K.bloom(per_row.select("of_key")))  # texts travel only for documents that hold such an entity
+
+    def holding(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(K.bloom_has(some.value, batch.column("key").to_numpy(zero_copy_only=False))))
+
+    holders = rows.mapInArrow(holding, rows.schema).dropDuplicates(["id", "key"]).join(per_row, F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key"))).drop("of", "of_key")
+    term_docs = stage(rows.select("text").mapInArrow(_document_counts(), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term")), "pii-terms")
+    top = term_docs.orderBy(F.desc("n_term"), "term").limit(FREQUENT).toArrow().sort_by("term")
+    frequent = sc.broadcast((top.column("term").to_numpy(), top.column("n_term").to_numpy()))
+    met = holders.mapInArrow(_document_terms(frequent, total, threshold), f"id {kind}, key long, entity long, context long, term long")
+    pairs = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= support)
     pairs = pairs.join(entities, "entity").join(term_docs, "term")
     carried = F.log2(F.lit(float(total)) / F.col("n_entity"))
     disclosure = F.when(carried > 0, 1 + F.log2(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))) / carried).otherwise(F.lit(0.0))
-    revealing = pairs.where(disclosure >= threshold).select("entity", "term")
-    extra = near.join(revealing, ["entity", "term"], "left_semi").select("id", "key", F.struct("start", F.lit(4).alias("kind"), "end").alias("span")).distinct()
+    revealing = stage(pairs.where(disclosure >= threshold).select("term").distinct(), "pii-revealing")
+    words = rows.mapInArrow(_known_words(sc.broadcast(K.bloom(revealing))), f"id {kind}, key long, term long, start long, end long")
+    extra = words.join(revealing, "term", "left_semi").select("id", "key", F.struct("start", F.lit(4).alias("kind"), "end").alias("span")).distinct()
     extra = extra.groupBy(F.col("id").alias("of"), F.col("key").alias("of_key")).agg(F.collect_list("span").alias("more"))
     joined = table.join(extra, F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
+    clear = lambda x: ~F.exists("mentions", lambda m: (m["start"] < x["end"]) & (x["start"] < m["end"]))
     base = F.transform("mentions", lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
-    more = F.coalesce("more", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))
+    more = F.coalesce(F.filter("more", clear), F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))
     return joined.select("id", "key", F.sort_array(F.concat(base, more)).alias("spans"))
 
 

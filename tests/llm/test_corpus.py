@@ -273,6 +273,13 @@ def test_pii_terms(spark):
     assert pii.find(empty(spark)).count() == 0
 
 
+def test_pii_terms_far_from_the_entity(spark):
+    fill = lambda i: " ".join(f"f{i}x{k}" for k in range(12))
+    rows = [(i, f"zorblax {fill(i)} from a@b.org {i}") for i in range(4)] + [(10 + i, f"é {fill(10 + i)} from home") for i in range(40)] + [(60, "é zorblax")]
+    got = {r.id: [tuple(s) for s in r.spans] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i][0] == (0, 4, 7) and len(got[i]) == 2 for i in range(4)) and got[60] == [(2, 4, 9)] and got[10] == []
+
+
 def test_segments_are_all_maximal():
     rng = random.Random(1)
     for _ in range(200):
