@@ -33,22 +33,26 @@ def _votes(graph: Graph, directed: bool) -> DataFrame:
     return graph.arcs(directed).select(F.col("src").alias("id"), F.col("dst").alias("other")).distinct()
 
 
-def label_propagation(graph: Graph, directed: bool = False, max_rounds: int = 20) -> DataFrame:
+def label_propagation(graph: Graph, directed: bool = False, max_rounds: int = 1000) -> DataFrame:
     """(id, label): every vertex takes its neighbours' most frequent label, all at once; of equally frequent ones its own, else the least.
 
-    Labels start as positions. It stops when nothing changes, or after ``max_rounds``, since two sides may swap labels for ever.
+    Labels start as positions. It stops when nothing changes or all labels are those of two rounds before, since two sides may swap
+    labels for ever; the labels are then those that ``max_rounds`` rounds would give.
     """
     near = stage(_votes(graph, directed), "labels-near")
-    state = stage(graph.vertices.select("id", F.col("pos").alias("label")), "labels")
-    for _ in range(max_rounds):
-        votes = near.join(state.withColumnRenamed("id", "other"), "other").groupBy("id", "label").agg(F.count(F.lit(1)).alias("n"))
-        own = state.withColumnRenamed("label", "own")
+    state = stage(graph.vertices.select("id", F.col("pos").alias("label"), F.lit(None).cast("long").alias("own")), "labels")
+    for r in range(1, max_rounds + 1):
+        votes = near.join(state.select(F.col("id").alias("other"), "label"), "other").groupBy("id", "label").agg(F.count(F.lit(1)).alias("n"))
+        own = state.select("id", F.col("label").alias("own"), F.col("own").alias("older"))
         best = votes.join(own, "id").groupBy("id").agg(F.max(F.struct("n", (F.col("label") == F.col("own")).alias("same"), (-F.col("label")).alias("low"))).alias("b"))
-        nxt = stage(own.join(best, "id", "left").select("id", F.coalesce(-F.col("b.low"), "own").alias("label"), "own"), "labels")
-        state = nxt.select("id", "label")
-        if nxt.where("label <> own").isEmpty():
+        nxt = stage(own.join(best, "id", "left").select("id", F.coalesce(-F.col("b.low"), "own").alias("label"), "own", "older"), "labels")
+        moved, other = nxt.agg(F.max(F.col("label") != F.col("own")), F.max(~F.col("label").eqNullSafe(F.col("older")))).first()
+        state = nxt.select("id", "label", "own")
+        if not moved:
             break
-    return state
+        if not other:  # two rounds repeat from here on
+            return state.select("id", "label") if (max_rounds - r) % 2 == 0 else state.select("id", F.col("own").alias("label"))
+    return state.select("id", "label")
 
 
 def cluster_edges(graph: Graph, assigned: DataFrame) -> DataFrame:

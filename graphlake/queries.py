@@ -254,6 +254,12 @@ def label_propagation(t):
     return community.label_propagation(P.chain(t), max_rounds=3)
 
 
+@query
+def label_propagation_converged(t):
+    """To a fixpoint or the swap of two labellings, as after 1,000 rounds; ``label_propagation`` is the three rounds that SQL spells out."""
+    return community.label_propagation(P.chain(t), max_rounds=1000)
+
+
 @query
 def louvain(t):
     return community.louvain(P.chain(t))

@@ -166,6 +166,22 @@ def test_communities(spark):
     assert labels.count() == 15
 
 
+def test_label_propagation_runs_to_its_end(spark):
+    """A path needs a round per vertex: it ends in two labellings that swap, or with a loop at its start in a fixpoint."""
+    n = 24
+    path = [(i, i + 1) for i in range(n - 1)]
+    v = spark.createDataFrame([(i, i) for i in range(n)], "id long, pos long")
+    for edges in (path, [*path, (0, 0)]):
+        e = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(edges)], "src long, dst long, pos long").selectExpr("*", "cast(null as double) weight", "cast(null as string) label")
+        near = [{b for a, b in edges if a == i} | {a for a, b in edges if b == i} for i in range(n)]
+        want = list(range(n))
+        for _ in range(1000):
+            votes = [[want[j] for j in near[i]] for i in range(n)]
+            want = [max(votes[i], key=lambda x: (votes[i].count(x), x == want[i], -x)) for i in range(n)]
+        got = {r.id: r.label for r in community.label_propagation(Graph(v, e)).collect()}
+        assert got == dict(enumerate(want))
+
+
 PEOPLE = {i: {"city": "110000" if i < 5 else "310000" if i < 11 else "440300", "amount": 100 if i < 5 else 1000 if i < 11 else 10000} for i in range(17)}
 
 
