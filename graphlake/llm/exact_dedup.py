@@ -1,8 +1,8 @@
-"""Exact deduplication by a tree-merge of sorted digest runs.
+"""Exact deduplication by a tree of aggregations of digests.
 
-Every input partition makes one run: its digests in order, each with the identifier to keep and a row count.
-Runs meet in binomial rounds: in round i the runs whose number agrees above the lowest ``i * fan_bits`` bits are
-exchanged, by slices of the digest range, and merged ``2**fan_bits`` ways. Every merge keeps, for each verified
+Every input partition makes one run: its digests, each with the identifier to keep and a row count. Runs are not sorted.
+They meet in binomial rounds: in round i the runs whose number agrees above the lowest ``i * fan_bits`` bits are
+grouped by digest, ``2**fan_bits`` runs at a time, in an exchange by the hash of run and key. Every merge keeps, for each verified
 digest, the best identifier, and so a group of a third of all rows is one row per run from the first level on. When one run is left, its
 decisions go back down to the runs, and from each run to its own rows.
 
