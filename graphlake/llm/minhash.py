@@ -9,8 +9,10 @@ stars: in each bucket every representative is joined to its centre, never to all
 ``bands * stars`` candidates per representative whatever the bucket's size. Stars are laid in rounds: the centre of
 the first is the least identifier, those of later ones are least by another hash per band, and a later star is only
 verified between different components. Members of a bucket that are in different components after the last star, and of
-which none was a centre, have not been compared: they are joined exactly, by the rare shingles of which two similar
-sets must share one (prefix filter). Each candidate is confirmed on the full sets.
+which none was a centre, have not been compared: those outside the bucket's largest component are held against all its members, block by
+block, and only pairs that sizes and parity bitmaps of the sets (which never rule out a link) leave possible become
+candidates. Each candidate is confirmed on the full sets, so every link between two documents that share a bucket counts. A block is one
+task; a bucket beyond ``BLOCK_ROWS`` members or ``BLOCK_SHINGLES`` shingles is cut into chunks, of which every two meet.
 
 Sets travel only for documents in some bucket with another, told by a Bloom filter of fixed size (``kernel.BLOOM_WORDS``
 64-bit words): where it is full it passes more rows, never fewer.
@@ -37,7 +39,8 @@ THRESHOLD = 75  # per cent
 BANDS, ROWS = 32, 4
 STARS = 3
 BITS = 52
-COUNTERS = 1 << 20  # of shingles, by hash: they only order shingles, so any number is right
+BITS_PER, LEAST_BITMAP = 4, 256  # bits of a bitmap for each shingle, and the fewest
+BLOCK_ROWS, BLOCK_SHINGLES = 8192, 8 << 20  # of a crowded bucket's members that one task compares
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, w: int = WORDS) -> tuple[np.ndarray, np.ndarray, K.Words]:
@@ -154,53 +157,107 @@ def _confirm(threshold: int):
     return run
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(at, n): how many shingles of the sets have each counter."""
-    table = np.zeros(COUNTERS, np.int64)
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, bits) of sets: the parity of how many shingles fall on each bit, at least ``BITS_PER`` bits a shingle.
+
+    Two bitmaps differ in at most as many bits as shingles are in one set only.
+    """
     for batch in batches:
+        out = []
         for x in _unpack(batch.column("set")):
-            np.add.at(table, (K.mix(x) % np.uint64(COUNTERS)).astype(np.int64), 1)
-    at = np.flatnonzero(table)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["at", "n"])
+            size = max(LEAST_BITMAP, 1 << (BITS_PER * len(x) - 1).bit_length())
+            at = (K.mix(x) & np.uint64(size - 1)).astype(np.int64)
+            out.append(np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "bits"])
+
+
+def _near_in_block(ids: np.ndarray, roots: np.ndarray, n: np.ndarray, chunk: np.ndarray, bits: list[np.ndarray], cross: bool, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (u, v) of different components that neither sizes nor bitmaps rule out; with ``cross``, of different chunks only."""
+    by = np.lexsort((ids, n))
+    ids, roots, n, chunk = (x[by] for x in (ids, roots, n, chunk))
+    bits = [bits[i] for i in by.tolist()]
+    width = np.array([len(x) for x in bits])
+    levels = {}  # bitmaps of one width, and those of twice the width folded to it
+    for k in np.unique(width).tolist():
+        rows = np.flatnonzero((width == k) | (width == 2 * k))
+        levels[k] = np.stack([x if len(x) == k else x[:k] ^ x[k:] for x in (bits[i] for i in rows.tolist())]), rows
+    name, inverse, times = np.unique(roots, return_inverse=True, return_counts=True)
+    asks = inverse != np.argmax(times)  # within the largest component nothing is left to find
+    start, stop = np.searchsorted(n, -(-threshold * n // 100)), np.searchsorted(n, 100 * n // threshold, "right")
+    first, second = [ids[:0]], [ids[:0]]
+    for r in np.flatnonzero(asks).tolist():
+        for k in (len(bits[r]), len(bits[r]) // 2):
+            if k not in levels:
+                continue
+            table, rows = levels[k]
+            a, b = np.searchsorted(rows, (start[r], stop[r]))
+            other = rows[a:b]
+            fine = (roots[other] != roots[r]) & (~asks[other] | (other < r))  # a pair that both ask for is found once
+            if k < len(bits[r]):
+                fine &= width[other] == k
+            if cross:
+                fine &= chunk[other] != chunk[r]
+            fine = np.flatnonzero(fine)
+            if not len(fine):
+                continue
+            other = other[fine]
+            own = bits[r] if len(bits[r]) == k else bits[r][:k] ^ bits[r][k:]
+            apart = np.bitwise_count(table[a:b][fine] ^ own).sum(axis=1, dtype=np.int64)
+            both = n[other] + n[r]
+            # the threshold is reached only by sets that differ in at most this many shingles
+            fine = apart <= both - 2 * -(-threshold * both // (100 + threshold))
+            first.append(np.full(int(fine.sum()), ids[r]))
+            second.append(ids[other[fine]])
+    u, v = np.concatenate(first), np.concatenate(second)
+    return np.maximum(u, v), np.minimum(u, v)
+
+
+def _near(threshold: int):
+    """(u, v) from rows in order of (bucket, i, j), a block after the other."""
+    names = ["bucket", "i", "j"]
+
+    def block(table: pa.Table) -> pa.RecordBatch:
+        ids, roots, n, chunk = (table.column(c).to_numpy() for c in ("rep", "root", "n", "chunk"))
+        bits = [np.frombuffer(x.as_buffer(), np.uint64) for part in table.column("bits").chunks for x in part]
+        u, v = _near_in_block(ids, roots, n, chunk, bits, table.column("i")[0] != table.column("j")[0], threshold)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of a block that may go on
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in names])
+            cut = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])).tolist()
+            for lo, hi in zip(cut, [*cut[1:], batch.num_rows], strict=True):
+                key = tuple(keys[:, lo].tolist())
+                if held and key != last:
+                    yield block(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                last = key
+        if held:
+            yield block(pa.Table.from_batches(held))
 
-def _rare_pairs(sets: DataFrame, known: DataFrame, threshold: int) -> DataFrame:
-    """(u, v) of different components whose sets can reach the threshold: all that do are among them.
+    return run
 
-    Shingles are ordered by counter, rare ones first. Of two sets that reach t, the larger has one of the smaller's first
-    n - 2t/(1+t) n + 1 shingles among its own first n - tn + 1.
-    """
-    got = sets.select("set").mapInArrow(_counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    counter = np.zeros(COUNTERS, np.int32)
-    counter[got.column("at").to_numpy()] = np.minimum(got.column("n").to_numpy(), 2**31 - 1)
-    table = sets.sparkSession.sparkContext.broadcast(counter)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                rows = []
-                for x in _unpack(part.column("set")):
-                    often = table.value[(K.mix(x) % np.uint64(COUNTERS)).astype(np.int64)]
-                    n = len(x)
-                    first = np.lexsort((x, often))[: n - -(-threshold * n // 100) + 1]
-                    narrow = np.arange(len(first)) < n - -(-2 * threshold * n // (100 + threshold)) + 1
-                    met = often[first] > 1  # a shingle alone in its counter is in no other set
-                    rows.append((x[first][met], narrow[met], n))
-                reps = [len(r[0]) for r in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(part.column("id").to_numpy(), reps)), pa.array(np.repeat(part.column("root").to_numpy(), reps)), pa.array(np.repeat(np.array([r[2] for r in rows], np.int64), reps)),
-                        pa.array(np.concatenate([r[0] for r in rows]).astype(np.int64)), pa.array(np.concatenate([r[1] for r in rows])),
-                    ], ["id", "root", "n", "shingle", "narrow"],
-                )
+def _unmet_pairs(rest: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(u, v) of different components that share a bucket in ``rest`` (bucket, rep, n, root) and can reach the threshold.
 
-    rooted = sets.join(known.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "set")
-    rare = stage(rooted.mapInArrow(run, "id long, root long, n long, shingle long, narrow boolean"), "minhash-rare")
-    small = rare.where("narrow").select("shingle", F.col("id").alias("v"), F.col("root").alias("rv"), F.col("n").alias("vn"))
-    large = rare.select("shingle", F.col("id").alias("u"), F.col("root").alias("ru"), F.col("n").alias("un"))
-    met = large.join(small, "shingle").where("ru <> rv and (un > vn or (un = vn and u > v))").where(F.col("vn") * 100 >= F.col("un") * threshold)
-    return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    A bucket is one block of rows, or, beyond ``BLOCK_ROWS`` rows or ``BLOCK_SHINGLES`` shingles, chunks by hash of which every two meet in a block.
+    """
+    size = rest.groupBy("bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("m"))
+    bitmaps = stage(sets.mapInArrow(_bitmaps, "id long, bits binary"), "minhash-bitmaps")
+    rows = rest.join(size, "bucket").join(bitmaps.withColumnRenamed("id", "rep"), "rep")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int"))
+    kept = ["bucket", "i", "j", "rep", "root", "n", "chunk", "bits"]
+    whole = rows.where("m = 1").withColumns({"i": F.lit(0), "j": F.lit(0)}).select(kept)
+    parts = rows.where("m > 1").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    parts = parts.withColumns({"i": F.least("chunk", "k"), "j": F.greatest("chunk", "k")}).select(kept)
+    blocks = whole.unionByName(parts).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return blocks.mapInArrow(_near(threshold), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w: int = WORDS, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, stars: int = STARS) -> DataFrame:
@@ -239,15 +296,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         known = star_contract(edges, "u", "v")
         links = known.select(F.col("node").alias("u"), F.col("root").alias("v"))
     # members of a bucket that were never compared: no centres, of different components
-    rest = met.where(~F.col("rep").isin(*[_centre(s) for s in range(stars)])).select("bucket", "rep")
-    rest = rest.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
+    rest = met.where(~F.col("rep").isin(*[_centre(s) for s in range(stars)])).select("bucket", "rep", "n")
+    rest = rest.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("root"))
     apart = rest.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
-    rest = stage(rest.join(apart, "bucket", "left_semi").select(F.col("rep").alias("id")).distinct(), "minhash-rest")
+    rest = stage(rest.join(apart, "bucket", "left_semi"), "minhash-rest")
     if not rest.isEmpty():
-        lacking = rest.join(involved.withColumnRenamed("u", "id"), "id", "left_anti")  # sizes ruled all their centres out
-        left = sets.join(rest, "id", "left_semi").unionByName(_sets(docs, id_col, text_col, lacking, w).join(lacking, "id", "left_semi"))
+        wanted = rest.select(F.col("rep").alias("id")).distinct()
+        lacking = wanted.join(involved.withColumnRenamed("u", "id"), "id", "left_anti")  # sizes ruled all their centres out
+        left = sets.join(wanted, "id", "left_semi").unionByName(_sets(docs, id_col, text_col, lacking, w).join(lacking, "id", "left_semi"))
         left = stage(left, "minhash-rest-sets")
-        todo = stage(_rare_pairs(left, known, threshold), "minhash-rest-pairs")
+        todo = stage(_unmet_pairs(rest, left, threshold), "minhash-rest-pairs")
         known = star_contract(_true(todo, left, threshold).unionByName(links), "u", "v")
     own = classes.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("root", "rep").alias("component"))
     out = sketch.select("id", "n", "d1", "d2").join(own, ["d1", "d2", "n"], "left")

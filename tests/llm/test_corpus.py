@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +139,64 @@ def test_near_duplicates(spark, docs):
         minhash.near_duplicates(docs, bands=5)
 
 
+def components_of(texts):
+    """The least index reachable over links of 0.75 on five-word shingles, by brute force."""
+    sets = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set() for w in (WORD.findall(low(t)) for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = 0
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and 100 * (k := len(sets[a] & sets[b])) >= 75 * (len(sets[a]) + len(sets[b]) - k):
+                links += 1
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(sets))], links
+
+
+@pytest.mark.parametrize(("seed", "block_rows"), [(1, 8192), (2, 8192), (3, 100)])
+def test_no_link_is_lost_in_a_crowded_bucket(spark, monkeypatch, seed, block_rows):
+    """Documents of one template, most of them just not similar to the centres; small blocks make chunks meet."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", block_rows)
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(500):
+        long = rng.randint(8, 40)
+        at = rng.randrange(200 - long)
+        texts.append(" ".join([*base[:at], *[f"x{rng.random()}" for _ in range(long)], *base[at + long :]]))
+    wanted, links = components_of(texts)
+    assert links > 300 and len(set(wanted)) > 50
+    got = {r.id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == wanted
+
+
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(5)
+    for n in (3, 60, 64, 65, 127, 128, 129, 400, 3000):
+        whole = rng.integers(0, 1 << 52, n, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([whole[: n - k], rng.integers(0, 1 << 52, j, dtype=np.uint64)])) for k in (0, n // 10, n // 8, n // 5) for j in (0, 1, n // 7, n // 3)]
+        packed = [x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes() for x in sets]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets))), pa.array(packed, pa.binary())], ["id", "set"])
+        bits = [np.frombuffer(x.as_py(), np.uint64) for b in minhash._bitmaps(iter([batch])) for x in b.column("bits")]
+        size = np.array([len(x) for x in sets])
+        ids = np.arange(len(sets))
+        u, v = minhash._near_in_block(ids, ids, size, ids % 2, bits, False, 75)
+        got = set(zip(u.tolist(), v.tolist(), strict=True))
+        assert len(got) == len(u)
+        for a in range(len(sets)):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                assert 100 * both < 75 * (size[a] + size[b] - both) or (a, b) in got
+        u, v = minhash._near_in_block(ids, ids, size, ids % 2, bits, True, 75)
+        assert set(zip(u.tolist(), v.tolist(), strict=True)) == {(a, b) for a, b in got if (a - b) % 2}
+
+
 def test_later_stars_find_what_the_first_centre_misses(spark):
     rng = random.Random(3)
     base = [f"w{i}" for i in range(200)]
