@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -30,6 +30,40 @@ def gram_hashes(words: Column, k: int) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
+def gram_key(words: Column, at: Column, n: int) -> Column:
+    """A hash of the n words from ``at`` (from 0): of its first, middle and last one, so it costs the same for any n; equal grams have equal keys."""
+    return F.xxhash64(F.lit(n), *[F.get(words, at + i) for i in sorted({0, n // 2, n - 1})])
+
+
+class Sieve:
+    """A bitmap of a bounded set of longs as a literal of a plan: tells, without a join, which values can't be in the set."""
+
+    def __init__(self, values: DataFrame, count: int):
+        """``values`` has one column of longs, about ``count`` of them; there are 32 bits for each, up to 2**22."""
+        self.bits = 1 << min(max((32 * count - 1).bit_length(), 12), 22)
+        slot = self._slot(F.col(values.columns[0]))
+        table = values.select(F.shiftright(slot, 6).alias("at"), F.expr("1L").alias("one"), slot.bitwiseAND(F.lit(63)).cast("int").alias("place"))
+        rows = table.groupBy("at").agg(F.bit_or(F.call_function("shiftleft", "one", "place")).alias("bits")).collect()  # at most bits / 64 rows
+        longs = [0] * (self.bits // 64)
+        for r in rows:
+            longs[r["at"]] = r["bits"]
+        self.table = F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")  # folded to a constant
+
+    def _slot(self, value: Column) -> Column:
+        return value.bitwiseAND(F.lit(self.bits - 1))
+
+    def passes(self, value: Column) -> Column:
+        slot = self._slot(value)
+        return F.getbit(F.get(self.table, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def places_of(words: Column, n: int, wanted) -> Column:
+    """The places (from 0) of the n-word windows for which ``wanted(place)`` holds, in order."""
+    last = F.size(words) - n
+    every = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
+    return F.when(last >= 0, F.filter(every, wanted)).otherwise(F.array().cast("array<int>"))
+
+
 def row_key(text: Column) -> Column:
     """With the identifier, this tells rows that share an identifier apart by their text."""
     return F.xxhash64(F.coalesce(text, F.lit("")), F.lit(17))

@@ -403,6 +403,68 @@ def test_license_scan(spark, docs):
     assert license_scan.scan(docs).count() == docs.count() and license_scan.scan(empty(spark)).count() == 0
 
 
+def test_license_spans(spark):
+    mit = license_scan.TEMPLATES["mit-text"]
+    texts = {
+        "licensed under the gnu general public license": [("gpl", 0, 6)],
+        "licensed under the gnu general public license version 2": [("gpl-2.0", 0, 8)],
+        "Licensed under the GNU General Public License, version 3 or later": [("gpl-3.0", 0, 8)],
+        "licensed under the gnu lesser general public license": [("lgpl", 0, 7)],
+        "all rights reserved " * 4: [("proprietary", 3 * i, 3 * i + 2) for i in range(4)],
+        "licensed under the apache license version 1.1": [],
+        "(c) me. " + mit + " So. " + mit.replace("sublicense", "relicense"): [("mit-text", 2, 164), ("mit-text", 166, 328)],
+        " ".join(mit.split()[:40]): [],
+        "licensed under CC BY-NC 4.0, licensed under cc by 4.0": [("cc-by-nc-4.0", 0, 6), ("cc-by-4.0", 7, 12)],
+        "license mit the under released": [],
+        "word " * 3000 + "released under the mit license " * 50: [("mit", 3000 + 5 * i, 3004 + 5 * i) for i in range(50)],
+    }
+    rows = [(i, t, "x", "y", 1) for i, t in enumerate(texts)] + [(0, next(iter(texts)), "x", "y", 1)]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, label string, words string, lo int").repartition(3)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert [(x.label, x.first_word, x.last_word) for x in r.found] == list(texts.values())[r.id], r
+
+
+def test_license_against_alignment(spark):
+    """Notices with random edits, against the edit distance of the template to any window."""
+    rng = random.Random(12)
+    templates = {k: license_scan.template_words(t) for k, t in license_scan.TEMPLATES.items()}
+    texts, planted = [], []
+    for _ in range(120):
+        label = rng.choice([k for k in templates if len(templates[k]) >= 15])
+        w = list(templates[label])
+        for _ in range(rng.randrange(1 + len(w) // 5)):
+            at = rng.randrange(len(w))
+            kind = rng.randrange(3)
+            w[at : at + (kind != 1)] = ["zzz"] if kind != 2 else []
+        texts.append(" ".join([*(f"a{rng.randrange(99)}" for _ in range(9)), *w, *(f"b{rng.randrange(99)}" for _ in range(9))]))
+        planted.append(label)
+
+    def distance(t, words):  # of the template to the nearest window
+        row = [0] * (len(words) + 1)
+        for i, x in enumerate(t):
+            new = [i + 1]
+            for j, y in enumerate(words):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+            row = new
+        return min(row)
+
+    got = {r.id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = 0
+    for i, (text, label) in enumerate(zip(texts, planted, strict=True)):
+        t = templates[label]
+        d = distance(t, text.split())
+        labels = {x.label for x in got[i].found}
+        decided = all(x in text.split() for x in license_scan.deciding_words(templates)[label])
+        if decided and 1 - (d + 2) / len(t) >= license_scan.LEAST:
+            assert label in labels, (label, text)
+            found += 1
+        if 1 - d / len(t) < license_scan.LEAST or not decided:
+            assert label not in labels, (label, text)
+        assert all(1 - distance(templates[x.label], text.split()) / len(templates[x.label]) >= x.score - 1e-9 for x in got[i].found)
+    assert found > 30
+
+
 def queries_on(spark, texts):
     """The license query over these texts."""
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
