@@ -1,8 +1,10 @@
 """Benchmark decontamination: a broadcast hash set of the test items' normalised n-grams.
 
-Every window of n words of a training document probes the set; a hit is verified on the words themselves. An item of
-fewer words than n, but not none, is one window. The set is broadcast only while it has at most ``broadcast_windows``
-windows (each some 200 bytes), which is counted first; a larger set is joined by a shuffle on the hash.
+Every window of n words of a training document is looked up, first in a bitmap of the set's hashes (``text.Sieve``), which only lets
+more by where it is full, then, if it passes, in the set itself, where its words are compared. So no row is made for other windows, and a
+document is tokenised once. An item of fewer words than n, but not none, is one window. The set is broadcast
+only while it has at most ``broadcast_windows`` windows (each some 200 bytes), which is counted first; a larger set is
+joined by a shuffle on the window's words.
 
 Null and empty texts have no words, and no items. Rows that share an identifier are told apart by their text; equal rows get
 equal results. An item whose identifier is null marks words but is not counted. Other columns pass through
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlake.llm.text import gram_hashes, letter_words, row_key
+from graphlake.llm.text import Sieve, gram_key, letter_words, places_of, row_key
 from graphlake.plans.staging import stage
 
 WINDOW = 10
@@ -25,31 +27,44 @@ def item_windows(benchmark: DataFrame, n: int = WINDOW, id_col: str = "item_id",
     """Distinct (size, hash, gram, item) of the test items."""
     items = benchmark.select(F.col(id_col).alias("item"), letter_words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
     items = items.withColumn("size", F.least(F.size("words"), F.lit(n)))
-    starts = F.sequence(F.lit(1), F.size("words") - F.col("size") + 1)
-    gram = F.slice("words", F.col("at"), F.col("size"))
-    return (
-        items.select("item", "words", "size", F.explode(starts).alias("at"))
-        .select("item", "size", F.xxhash64(gram).alias("hash"), F.array_join(gram, " ").alias("gram"))
-        .distinct()
-    )
+    cut = lambda i: F.array_join(F.slice("words", i + 1, F.col("size")), " ")
+    grams = F.transform(F.sequence(F.lit(0), F.size("words") - F.col("size")), lambda i: F.struct(i.alias("at"), cut(i).alias("gram")))
+    found = items.select("item", "words", "size", F.explode(grams).alias("g"))
+    key = F.coalesce(*[F.when(F.col("size") == k, gram_key(F.col("words"), F.col("g.at"), k)) for k in range(1, n + 1)])
+    return found.select("item", "size", key.alias("hash"), F.col("g.gram").alias("gram")).distinct()
+
+
+def _candidates(docs: DataFrame, grams: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(id, key, n_words, seen: array of (at, size, gram)) of every document, staged, and the number of windows of the items."""
+    sizes = {r["size"]: r["count"] for r in grams.groupBy("size").count().collect()}  # at most n rows
+    total = sum(sizes.values())
+    sieve = Sieve(grams.select("hash"), total)
+    words = F.col("words")
+    base = docs.select(F.col(id_col).alias("id"), row_key(F.col(text_col)).alias("key"), letter_words(F.col(text_col)).alias("words"))
+    window = lambda k: lambda i: F.struct(i.alias("at"), F.lit(k).alias("size"), F.array_join(F.slice(words, i + 1, F.lit(k)), " ").alias("gram"))
+    passing = lambda k: lambda i: sieve.passes(gram_key(words, i, k))
+    seen = [F.transform(places_of(words, k, passing(k)), window(k)) for k in sorted(sizes)]
+    every = F.concat(*seen) if seen else F.array().cast("array<struct<at:int,size:int,gram:string>>")
+    return stage(base.select("id", "key", F.size(words).alias("n_words"), every.alias("seen")), "decontaminate-windows-seen"), total
+
+
+def _hits(seen: DataFrame, grams: DataFrame, small: bool) -> DataFrame:
+    """(id, key, hits: array of (at, size) in words from 0 and in order, items: array of strings) of documents with a hit."""
+    probe = seen.where(F.size("seen") > 0).select("id", "key", F.explode("seen").alias("w")).select("id", "key", "w.*")
+    items = grams.select("size", "gram", F.col("item").cast("string").alias("item"))
+    true = probe.join(F.broadcast(items) if small else items, ["gram", "size"])
+    return true.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("at", "size"))).alias("hits"), F.sort_array(F.collect_set("item")).alias("items"))
+
+
+def _scan(docs: DataFrame, benchmark: DataFrame, n: int, id_col: str, text_col: str, item_col: str, item_text: str, broadcast_windows: int) -> tuple[DataFrame, DataFrame]:
+    grams = stage(item_windows(benchmark, n, item_col, item_text), "decontaminate-windows")
+    seen, total = _candidates(docs, grams, n, id_col, text_col)
+    return seen, _hits(seen, grams, total <= broadcast_windows)
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(id, row_key, hits: array of (at, size) in words from 0 and in order, items: array of strings) of documents with a hit."""
-    grams = stage(item_windows(benchmark, n, item_col, item_text), "decontaminate-windows")
-    counted = grams.groupBy("size").count().collect()  # at most n rows
-    sizes = {r["size"]: r["count"] for r in counted}
-    small = sum(sizes.values()) <= broadcast_windows
-    words = docs.select(F.col(id_col).alias("id"), row_key(F.col(text_col)).alias("key"), letter_words(F.col(text_col)).alias("words"))
-    found = None
-    for size in sorted(sizes) or [n]:
-        probe = words.select("id", "key", "words", F.posexplode(gram_hashes(F.col("words"), size)).alias("at", "hash"))
-        of_size = grams.where(F.col("size") == size).select("hash", "gram", "item")
-        joined = probe.join(F.broadcast(of_size) if small else of_size, "hash")
-        true = joined.where(F.array_join(F.slice("words", F.col("at") + 1, size), " ") == F.col("gram"))
-        true = true.select("id", "key", F.struct("at", F.lit(size).alias("size")).alias("hit"), F.col("item").cast("string").alias("item"))
-        found = true if found is None else found.unionByName(true)
-    return found.groupBy("id", "key").agg(F.sort_array(F.collect_set("hit")).alias("hits"), F.sort_array(F.collect_set("item")).alias("items"))
+    return _scan(docs, benchmark, n, id_col, text_col, item_col, item_text, broadcast_windows)[1]
 
 
 def _covered(hits):
@@ -62,10 +77,9 @@ def _covered(hits):
     return F.aggregate(hits, start, step, lambda s: s["n"])
 
 
-def score(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def score(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row per document: id, n_words, n_hit, items (array), hits (array of (at, size)), contaminated."""
-    hits = find_hits(docs, benchmark, id_col=id_col, text_col=text_col, **options)
-    own = docs.select(F.col(id_col).alias("id"), row_key(F.col(text_col)).alias("key"), F.size(letter_words(F.col(text_col))).alias("n_words"))
+    own, hits = _scan(docs, benchmark, n, id_col, text_col, item_col, item_text, broadcast_windows)
     hits = hits.withColumnsRenamed({"id": "of", "key": "of_key"})
     joined = own.join(hits, F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
     n_hit = F.when(F.col("hits").isNull(), F.lit(0)).otherwise(_covered(F.col("hits")))

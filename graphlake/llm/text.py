@@ -22,39 +22,33 @@ def letter_words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
-def gram_hashes(words: Column, k: int) -> Column:
-    """One hash for each k consecutive words; empty for fewer words."""
-    count = F.size(words) - F.lit(k - 1)
-    return F.when(
-        count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, k)))
-    ).otherwise(F.array().cast("array<bigint>"))
-
-
 def gram_key(words: Column, at: Column, n: int) -> Column:
     """A hash of the n words from ``at`` (from 0): of its first, middle and last one, so it costs the same for any n; equal grams have equal keys."""
     return F.xxhash64(F.lit(n), *[F.get(words, at + i) for i in sorted({0, n // 2, n - 1})])
 
 
 class Sieve:
-    """A bitmap of a bounded set of longs as a literal of a plan: tells, without a join, which values can't be in the set."""
+    """A Bloom filter of a bounded set of longs as a literal of a plan: tells, without a join, which values can't be in the set."""
 
     def __init__(self, values: DataFrame, count: int):
-        """``values`` has one column of longs, about ``count`` of them; there are 32 bits for each, up to 2**22."""
-        self.bits = 1 << min(max((32 * count - 1).bit_length(), 12), 22)
-        slot = self._slot(F.col(values.columns[0]))
-        table = values.select(F.shiftright(slot, 6).alias("at"), F.expr("1L").alias("one"), slot.bitwiseAND(F.lit(63)).cast("int").alias("place"))
-        rows = table.groupBy("at").agg(F.bit_or(F.call_function("shiftleft", "one", "place")).alias("bits")).collect()  # at most bits / 64 rows
+        """``values`` has one column of longs (hashes), about ``count`` of them; there are 512 bits for each, up to 2**22 in all."""
+        self.bits = 1 << min(max((512 * count - 1).bit_length(), 12), 22)
+        slots = values.select(F.explode(F.array(*self._slots(F.col(values.columns[0])))).alias("slot"))
+        place = F.col("slot").bitwiseAND(F.lit(63)).cast("int")
+        table = slots.select(F.shiftright("slot", 6).alias("at"), F.call_function("shiftleft", F.expr("1L"), place).alias("bit"))
+        rows = table.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()  # at most bits / 64 rows
         longs = [0] * (self.bits // 64)
         for r in rows:
             longs[r["at"]] = r["bits"]
         self.table = F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")  # folded to a constant
 
-    def _slot(self, value: Column) -> Column:
-        return value.bitwiseAND(F.lit(self.bits - 1))
+    def _slots(self, value: Column) -> list[Column]:
+        return [x.bitwiseAND(F.lit(self.bits - 1)) for x in (value, F.shiftrightunsigned(value, 32))]
 
     def passes(self, value: Column) -> Column:
-        slot = self._slot(value)
-        return F.getbit(F.get(self.table, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+        one = lambda x: F.getbit(F.get(self.table, F.shiftright(x, 6).cast("int")), x.bitwiseAND(F.lit(63)).cast("int")) == 1
+        first, second = self._slots(value)
+        return one(first) & one(second)
 
 
 def places_of(words: Column, n: int, wanted) -> Column:
