@@ -131,16 +131,24 @@ def template_grams(table: DataFrame, k: int) -> tuple[DataFrame, int]:
     return grams, total
 
 
-def _read(docs: DataFrame, grams: DataFrame, total: int, phrases: dict[str, str], k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, n_words, places, seen, words) of every document, staged: one pass over the texts; words only of those with template grams."""
-    sieve = Sieve(grams.select("hash"), total)
+def _read(docs: DataFrame, grams: DataFrame, total: int, phrases: dict[str, str], k: int, votes: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, n_words, places, seen, words) of every document, staged: one pass over the texts; words only of those that can have a line.
+
+    Where a template needs several votes for a line, its grams count only in documents with as many.
+    """
+    need = F.ceil(F.col("grams") * votes)
+    short, long = grams.where(need <= 1), grams.where(need > 1)
+    least = long.agg(F.min(need)).first()[0] or 2
     words = F.col("words")
     own = docs.select(F.col(id_col).alias("id"), row_key(F.col(text_col)).alias("key"), letter_words(F.col(text_col)).alias("words"))
     own = own.withColumn("joined", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
     places = F.concat(*[_labelled(_places(words, p), label) for p, label in phrases.items()]) if phrases else F.array().cast("array<struct<label:string,at:bigint>>")
-    seen = F.transform(places_of(words, k, lambda i: sieve.passes(gram_key(words, i, k))), lambda i: F.struct(i.alias("place"), gram_key(words, i, k).alias("hash")))
-    own = own.select("id", "key", F.size(words).cast("long").alias("n_words"), places.alias("places"), seen.alias("seen"), "words")
-    return stage(own.withColumn("words", F.when(F.size("seen") > 0, words)), "license-words")
+    passing = lambda of: (lambda sieve: places_of(words, k, lambda i: sieve.passes(gram_key(words, i, k))))(Sieve(of.select("hash"), total))
+    own = own.select("id", "key", F.size(words).cast("long").alias("n_words"), places.alias("places"), passing(short).alias("few"), passing(long).alias("many"), "words")
+    at = F.when(F.size("many") >= int(least), F.array_union("few", "many")).otherwise(F.col("few"))
+    seen = F.transform(at, lambda i: F.struct(i.alias("place"), gram_key(words, i, k).alias("hash")))
+    own = own.select("id", "key", "n_words", "places", seen.alias("seen"), F.when(F.size(at) > 0, words).alias("words"))
+    return stage(own, "license-words")
 
 
 def _spans(own: DataFrame, table: DataFrame, vocabulary: list[str], grams: DataFrame, k: int, near: int, votes: float, least: float) -> DataFrame:
@@ -191,7 +199,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
     label, score), score: the best window's, or ``PHRASE_SCORE`` for a phrase alone, or 0."""
     table, vocabulary = template_table(docs.sparkSession, TEMPLATES if templates is None else templates)
     grams, total = template_grams(table, k)
-    own = _read(docs, grams, total, PHRASES if phrases is None else phrases, k, id_col, text_col)
+    own = _read(docs, grams, total, PHRASES if phrases is None else phrases, k, votes, id_col, text_col)
     spans = _spans(own, table, vocabulary, grams, k, near, votes, least).withColumnsRenamed({"id": "of", "key": "of_key"})
     joined = own.drop("seen", "words").join(spans, F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
     best = F.array_max(F.transform("found", lambda x: x["score"]))
