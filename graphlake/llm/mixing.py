@@ -12,7 +12,8 @@ common level: target = min(most * size, level * weight), found by ordering sourc
 
 Sources are aggregated to one row each; there may be at most ``MAX_SOURCES`` of them, which is checked, since targets are
 computed over all sources together. Null and empty texts have size 0 and nothing is taken from them. Rows with one
-identifier and equal text share a key; they are ordered by size and are otherwise alike.
+identifier share a key; they are ordered by size and are otherwise alike. Columns other than these three don't matter, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphlake.llm.text import NOT_SPACE
+from graphlake.llm.text import NOT_SPACE, free_name
 from graphlake.plans.staging import stage
 
 DIGITS = 3  # hex digits of the key that tell its range: 4,096 equal ranges
@@ -83,16 +84,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixture itself: a row for each copy taken, with ``epoch`` from 0 and ``taken``, its words; the document at a source's
-    cut ends after its last word taken. Documents without words are not part of a mixture."""
+    cut ends after its last word taken. Documents without words are not part of a mixture. Where ``docs`` has columns of these names, the
+    new ones have an underscore after theirs.
+
+    Rows that share identifier, source and size are interchangeable in the plan: of their whole sizes, the cut and nothing, each of them, in
+    order of a hash of the text, takes one.
+    """
+    epoch, taken = free_name("epoch", docs.columns), free_name("taken", docs.columns)
     mixed = mix(docs, id_col, text_col, source_col, **options).where("taken > 0")
-    mixed = mixed.groupBy("id", "source", "size").agg(F.max("epochs").alias("epochs"), F.max("rest").alias("rest"))
-    mixed = mixed.select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "epochs", "rest").withColumnsRenamed({"epochs": "__epochs", "rest": "__rest"})
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(NOT_SPACE)), F.lit(0)).cast("long")
-    joined = docs.join(mixed, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (size == F.col("__size")))
+    whole = F.col("rest") == F.col("size")
+    mixed = mixed.groupBy("id", "source", "size").agg(F.max("epochs").alias("__epochs"), F.sum(whole.cast("long")).alias("__whole"), F.max(F.when(~whole, F.col("rest"))).alias("__cut"))
+    mixed = mixed.select(F.xxhash64("id", "source", "size").alias("__mix"), F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__epochs", "__whole", "__cut")
+    own = docs.withColumn("__words", F.coalesce(F.regexp_count(F.col(text_col), F.lit(NOT_SPACE)), F.lit(0)).cast("long"))
+    own = own.withColumns({"__mix": F.xxhash64(F.col(id_col), F.col(source_col), F.col("__words")), "__order": F.xxhash64(text_col)})
+    joined = own.join(mixed, "__mix")  # rows are numbered within the partitions of this exchange
+    joined = joined.where(F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
+    alike = Window.partitionBy("__mix", "__id", "__source", "__size").orderBy("__order")
+    joined = joined.withColumn("__nth", F.row_number().over(alike))
+    rest = F.when(F.col("__nth") <= F.col("__whole"), F.col("__size")).when(F.col("__nth") == F.col("__whole") + 1, F.coalesce("__cut", F.lit(0))).otherwise(F.lit(0))
+    joined = joined.withColumn("__rest", rest.cast("long"))
     copies = F.col("__epochs") + F.when(F.col("__rest") > 0, 1).otherwise(0)
-    rows = joined.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
-    cut = (F.col("epoch") == F.col("__epochs")) & (F.col("__rest") < F.col("__size"))
+    rows = joined.where(copies > 0).withColumn(epoch, F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+    cut = (F.col(epoch) == F.col("__epochs")) & (F.col("__rest") < F.col("__size"))
     words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     head = F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("__rest"), F.lit(1)).cast("int")), "")
-    rows = rows.withColumn("taken", F.when(cut, F.col("__rest")).otherwise(F.col("__size"))).withColumn(text_col, F.when(cut, head).otherwise(F.col(text_col)))
-    return rows.drop("__id", "__source", "__size", "__epochs", "__rest")
+    rows = rows.withColumn(taken, F.when(cut, F.col("__rest")).otherwise(F.col("__size"))).withColumn(text_col, F.when(cut, head).otherwise(F.col(text_col)))
+    return rows.select(*[F.col(f"`{c}`") for c in [*docs.columns, epoch, taken]])

@@ -61,3 +61,11 @@ def places_of(words: Column, n: int, wanted) -> Column:
 def row_key(text: Column) -> Column:
     """With the identifier, this tells rows that share an identifier apart by their text."""
     return F.xxhash64(F.coalesce(text, F.lit("")), F.lit(17))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores after it as make it differ from all column names ``taken``."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
