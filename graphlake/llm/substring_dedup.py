@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlake.llm import kernel as K
-from graphlake.llm.text import row_key
+from graphlake.llm.text import free_name, row_key
 from graphlake.plans.staging import stage
 
 RUN, LEAST_WORDS, LONG = 3, 12, 9
@@ -167,12 +167,12 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, **options) -> DataFrame:
-    """``docs`` with the repeated sentences cut out of their texts; ``counts`` adds n_sentences and n_removed.
+    """``docs`` with the repeated sentences cut out of their texts; ``counts`` adds n_removed (with an underscore after it where ``docs`` has that column).
 
     Only rows that a Bloom filter of fixed size names are shuffled with their texts; all others are passed on.
     """
     found = stage(find_repeats(docs, id_col, text_col, **options), "repeats-found")
-    hit = found.where("size(removed) > 0").select("id", "key", "sentences", "removed", "spans").dropDuplicates(["id", "key"])
+    hit = found.where("size(removed) > 0").select("id", "key", "removed", "spans").dropDuplicates(["id", "key"])
     known = docs.sparkSession.sparkContext.broadcast(K.bloom(hit.select("key")))
     own = docs.withColumn("__key", row_key(F.col(text_col)))
 
@@ -183,11 +183,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         return work
 
-    hit = hit.select(F.col("id").alias("__id"), F.col("key").alias("__of"), "sentences", "removed", "spans")
+    hit = hit.select(F.col("id").alias("__id"), F.col("key").alias("__of"), F.col("removed").alias("__removed"), F.col("spans").alias("__spans"))
     some = own.mapInArrow(split(True), own.schema)
     some = some.join(hit, (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.col("__id")) & (F.col("__key") == F.col("__of")), "left").drop("__id", "__of")
     at = own.columns.index(text_col)
     result = own.drop("__key").schema.fieldNames()
+    n_removed = free_name("n_removed", docs.columns)
 
     def cut(batches):
         for batch in batches:
@@ -203,10 +204,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out.append(text)
             n = pa.array([len(x or ()) for x in batch.column(batch.num_columns - 2).to_pylist()], pa.int64())
             columns = [pa.array(out, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(len(result))]
-            yield pa.RecordBatch.from_arrays([*columns, n], [*result, "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, n], [*result, n_removed])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.drop("__key").schema.fields) + ", n_removed long"
-    cleaned = some.drop("__key", "sentences").mapInArrow(cut, schema)
-    rest = own.mapInArrow(split(False), own.schema).drop("__key").withColumn("n_removed", F.lit(0).cast("long"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.drop("__key").schema.fields) + f", `{n_removed}` long"
+    cleaned = some.drop("__key").mapInArrow(cut, schema)
+    rest = own.mapInArrow(split(False), own.schema).drop("__key").withColumn(n_removed, F.lit(0).cast("long"))
     both = cleaned.unionByName(rest)
-    return both if counts else both.drop("n_removed")
+    return both if counts else both.drop(n_removed)
