@@ -71,8 +71,8 @@ def _of_kind(k: int):
 
 def _toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").where("toxic is not null").groupBy(F.col("doc_id").alias("of")).agg(F.max("toxic").alias("label"))
-    docs = _table(spark, sf_dir, "documents").where(_remainder(5) != 0)
-    return docs.join(labels, F.col("doc_id") == F.col("of")).select(F.col("doc_id").alias("id"), "text", "label")
+    docs = _table(spark, sf_dir, "documents").where(_remainder(5) != 0).select(F.col("doc_id").alias("id"), "text")
+    return docs.join(labels, F.col("id") == F.col("of")).select("id", "text", "label")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

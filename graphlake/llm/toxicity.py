@@ -15,7 +15,8 @@ Only learning is bounded: it uses at most ``max_rows`` labelled rows, those of l
 them by a lexicon of the other half; the lexicon for scoring is learned from both. Every document is scored whole.
 
 Null, empty and wordless texts have no passage and the score of no evidence. Labels that are null don't count; of several
-labels of a row, 1 wins. Copies and near-copies, told by any of three least shingle hashes they share, count once in learning. With no labels of one kind the score is the base
+labels of a row, 1 wins. Copies and near-copies that
+share all of three least shingle hashes count once in learning, with the text and the label of one of them. With no labels of one kind the score is the base
 rate. Other columns pass through ``drop_toxic`` untouched.
 """
 
@@ -185,9 +186,8 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, max_lexicon: int = MAX_LE
     cut = known.groupBy("order").count().orderBy("order").limit(max_rows).agg(F.max("order")).first()[0]
     sample = known.where(F.col("order") <= F.lit(cut)) if cut is not None else known
     sketched = sample.select("text", "label", "order").mapInArrow(_sketch, "text string, label int, order long, m0 long, m1 long, m2 long")
-    for m in ("m0", "m1", "m2"):
-        sketched = sketched.groupBy(m).agg(F.min(F.struct("order", "text", "m0", "m1", "m2")).alias("x"), F.max("label").alias("label")).select("x.*", "label")
-    sample = stage(sketched.select("text", "label", F.pmod("order", F.lit(2)).cast("int").alias("half")), "toxicity-sample")
+    alike = sketched.groupBy("m0", "m1", "m2").agg(F.min(F.struct("order", "text", "label")).alias("x")).select("x.*")  # text and label of one row
+    sample = stage(alike.select("text", "label", F.pmod("order", F.lit(2)).cast("int").alias("half")), "toxicity-sample")
     counts = stage(sample.mapInArrow(_presence, "word long, toxic long, clean long, half int").groupBy("word", "half").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-counts")
     first = _lexicon(counts.where("half = 0"), sample.where("half = 0"), max_lexicon, least_z, drift)
     model = _calibrate(sample.where("half = 1"), first)
