@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tempfile
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from graphlake.llm import decontaminate, exact_dedup, katz, kernel, language, license_scan, minhash, mixing, pii, queries, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, key string, digest string, span string"
@@ -82,6 +84,74 @@ def test_exact_dedup(spark, docs):
     assert exact_dedup.find_copies(empty(spark)).count() == 0 and exact_dedup.drop_copies(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize(("parts", "fan_bits", "run_rows"), [(1, 1, 4), (1, 5, 4), (6, 1, 1000), (6, 2, 3), (1, 1, 1000)])
+def test_exact_dedup_rounds(spark, parts, fan_bits, run_rows):
+    texts = [["a", "b", "A", None, "", "c", "é", "É"][i * i % 8] for i in range(90)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(parts)
+    rows = exact_dedup.digests(table, run_rows=run_rows).persist()
+    _, rounds = exact_dedup.merge_runs(rows, "smallest", fan_bits)
+    runs = {(r.part, r.run) for r in rows.collect()}
+    assert all(n <= run_rows for n in Counter((r.part, r.run) for r in rows.collect()).values())
+    assert rounds == sum(math.ceil(max(x).bit_length() / fan_bits) for x in zip(*runs, strict=True)) and (rounds > 0 or len(runs) == 1)
+    rows.unpersist()
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(low(t), i)
+    for r in exact_dedup.find_copies(table, fan_bits=fan_bits, run_rows=run_rows).collect():
+        assert r.keep_id == first[low(texts[r.id])] and r.kept == (r.id == r.keep_id) and r.group_size == sum(low(t) == low(texts[r.id]) for t in texts)
+
+
+CLASH = ["label", "of", "sentences", "removed", "spans", "n_removed", "epoch", "taken", "size", "words", "key", "bucket", "rep", "seen", "entity", "score", "found"]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    """Every operator that returns its input's columns, and every stage, on a table with names that they use inside."""
+    texts = corpus()[:20] + ["a b c", "a b c", None, ""]
+    rows = [(i, t, "en", f"s{i % 2}", 1, *[f"{c}{i}" for c in CLASH]) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{c} string" for c in CLASH)).repartition(3)
+    bench = spark.createDataFrame([(1, "zzz yyy xxx www vvv")], "item_id long, text string")
+    labelled = table.select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 2).alias("label"))
+    model = toxicity.fit(labelled)
+    done = {
+        "exact": exact_dedup.drop_copies(table), "near": minhash.drop_near_duplicates(table), "bench": decontaminate.remove(table, bench), "pii": pii.sanitise(table),
+        "toxic": toxicity.drop_toxic(table, model), "repeats": substring_dedup.remove_repeats(table),
+    }
+    for name, got in done.items():
+        assert got.columns == table.columns, name
+        assert all(getattr(r, c) == f"{c}{r.doc_id}" for r in got.collect() for c in CLASH), name
+    counted = substring_dedup.remove_repeats(table, counts=True)
+    assert counted.columns == [*table.columns, "n_removed_"] and counted.count() == len(rows)
+    mixed = mixing.take(table)
+    assert mixed.columns == [*table.columns, "epoch_", "taken_"] and all(getattr(r, c) == f"{c}{r.doc_id}" for r in mixed.collect() for c in CLASH)
+    parts = {"labels": spark.createDataFrame([(i, 0, i % 2) for i in range(24)], "doc_id long, quality int, toxic int"), "benchmark": bench}
+    for name, apply in corpus_pipeline.STAGES[:-1]:
+        with tempfile.TemporaryDirectory() as folder:
+            for t, df in parts.items():
+                df.write.parquet(f"{folder}/{t}.parquet")
+            got = apply(spark, table, folder)
+            assert got.columns == table.columns and 0 < got.count() <= len(rows), name
+            assert apply(spark, table.where("doc_id < 0"), folder).count() == 0, name
+
+
+def test_mixture_takes_what_is_planned(spark):
+    """Repeated rows, and texts of one identifier, source and size."""
+    same = [(1, "a b c d e", "x")] * 3
+    alike = [(2, "a b c d e f", "y"), (2, "g h i j k l", "y"), (3, "m n", "y"), (None, "q r s", None), (None, "t u v", None)]
+    for rows in (same, alike, same + alike, [(i // 3, " ".join([f"w{i % 4}"] * (1 + i % 4)), f"s{i % 2}") for i in range(60)]):
+        table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+        plan = mixing.mix(table).collect()
+        got = mixing.take(table).collect()
+        planned, taken = Counter(), Counter()
+        for r in plan:
+            planned[r.id, r.source, r.size] += r.taken
+        size = {(r.doc_id, r.text, r.source): len((r.text or "").split()) for r in table.collect()}
+        for r in got:
+            assert r.taken == len(r.text.split())
+            near = next(n for (i, t, s), n in size.items() if i == r.doc_id and s == r.source and t.startswith(r.text))
+            taken[r.doc_id, r.source, near] += r.taken
+        assert {k: v for k, v in planned.items() if v} == dict(taken), rows
+
+
 def test_decontaminate(spark, docs):
     texts = corpus()
     first = LETTER_WORD.findall(low(texts[74]))
