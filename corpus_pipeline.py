@@ -5,7 +5,8 @@ table in the folder the cluster shares and gives it to the next. All stages but
 ``documents``; the last adds ``epoch`` (copies of a document are numbered from 0) and ``taken`` (words of the copy).
 
 Nulls: a null text is not toxic, equals other null and empty texts, has no near-duplicate and no benchmark words, and
-is not part of the mixture, since it has no words to take.
+is not part of the mixture, since it has no words to take. Repeated rows are copies of each other, and one stays. Other columns pass through,
+whatever their names; where ``epoch`` and ``taken`` are among them, the new columns have an underscore after theirs. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from graphlake.plans.staging import stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents predicted toxic by a model of the labels of these documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic is not null").groupBy(F.col("doc_id").alias("of")).agg(F.max("toxic").alias("label"))
-    labelled = docs.join(labels, F.col("doc_id") == F.col("of")).select(F.col("doc_id").alias("id"), "text", "label")
+    labelled = docs.select(F.col("doc_id").alias("id"), "text").join(labels, F.col("id") == F.col("of")).select("id", "text", "label")
     return toxicity.drop_toxic(docs, toxicity.fit(labelled))
 
 
