@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlake.graph import Graph, cost
-from graphlake.operators.components import weak_components
 from graphlake.operators.features import one_hot, property_table
-from graphlake.plans.staging import stage
+from graphlake.plans.numbering import dense_index
+from graphlake.plans.staging import discard, stage
+
+SETTLED = 4  # rounds that together must raise the quality of moves
 
 
 def k_core(graph: Graph, k: int = 1) -> Graph:
@@ -102,141 +103,99 @@ def inertial_modularity(vectors: DataFrame, assigned: DataFrame) -> DataFrame:
     return sums.join(parts, "cluster").agg(F.round(F.coalesce(F.sum(value), F.lit(0.0)), 4).alias("value"))
 
 
-def _moves(inertial: float, directed: bool, threshold: float, sweeps: int):
-    """Local moves in one component, in order of position; keeps the partition of highest modularity."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        nodes = pdf[pdf["dst"].isna()].sort_values("pos")
-        at = {n: i for i, n in enumerate(nodes["src"])}
-        n = len(at)
-        near: list[set] = [set() for _ in range(n)]
-        for s, d in zip(pdf["src"], pdf["dst"], strict=True):
-            if d is not None and d == d:
-                near[at[s]].add(at[d])
-                if not directed:
-                    near[at[d]].add(at[s])
-        k = np.array([len(x) for x in near], float)
-        m2 = k.sum()
-        cluster = np.arange(n)
-        x = np.array(nodes["vector"].tolist(), float) if inertial else np.zeros((n, 0))
-        mean = x.mean(axis=0) if n else x.sum(axis=0)
-        scatter = 2 * n * float(((x - mean) ** 2).sum()) if inertial else 0.0
-        own = n * (x**2).sum(axis=1) - 2 * x @ x.sum(axis=0) + (x**2).sum() if inertial else np.zeros(n)
-
-        def likeness(i: int, members: list[int]) -> float:
-            if not scatter or not members:
-                return 0.0
-            d = ((x[members] - x[i]) ** 2).sum(axis=1)
-            return float((own[i] * own[members]).sum() / scatter**2 - d.sum() / scatter) * 2
-
-        def quality() -> float:
-            inside = sum(1 for i in range(n) for j in near[i] if cluster[i] == cluster[j])
-            sums = np.bincount(cluster, k, n)
-            q = (inside - float((sums**2).sum()) / m2) / m2 if m2 else 0.0
-            if inertial and scatter:
-                q += inertial * sum(likeness(i, [j for j in np.flatnonzero(cluster == cluster[i]) if j != i]) for i in range(n)) / 2
-            return q
-
-        sums = k.copy()
-        best, kept = quality(), cluster.copy()
-        for _ in range(sweeps):
-            moved = False
-            for i in range(n):
-                here = cluster[i]
-                links: dict = {}
-                for j in sorted(near[i]):
-                    if j != i:
-                        links[cluster[j]] = links.get(cluster[j], 0) + 1
-                stay = links.get(here, 0) - (sums[here] - k[i]) * k[i] / m2 if m2 else 0.0
-                if inertial:
-                    stay += inertial * m2 / 2 * likeness(i, [j for j in np.flatnonzero(cluster == here) if j != i])
-                to, top = here, 1e-12
-                for c in links:
-                    if c == here:
-                        continue
-                    gain = links[c] - sums[c] * k[i] / m2 - stay
-                    if inertial:
-                        gain += inertial * m2 / 2 * likeness(i, np.flatnonzero(cluster == c).tolist())
-                    if gain > top:
-                        to, top = c, gain
-                if to != here:
-                    sums[here] -= k[i]
-                    sums[to] += k[i]
-                    cluster[i] = to
-                    moved = True
-            now = quality()
-            if now > best:
-                gained, best, kept = now - best, now, cluster.copy()
-                if gained < threshold:
-                    break
-            if not moved:
-                break
-        ids = nodes["src"].tolist()
-        return pd.DataFrame({"id": ids, "root": [ids[c] for c in kept]})
-
-    return run
-
-
-def louvain(graph: Graph, directed: bool = False, threshold: float = 1e-4, sweeps: int = 100, inertial_weight: float = 0.0, key: str | None = None, involved: list[str] | None = None, uninvolved: list[str] | None = None, local_limit: int = 2_000_000) -> DataFrame:
+def _cluster_sums(state: DataFrame, alike: bool) -> DataFrame:
+    """(root, total, size) of (id, root, k), and with ``alike`` the sums of the members' vectors x, squares xx and inertias own."""
+    sums = [F.sum("k").alias("total"), F.count(F.lit(1)).alias("size")]
+    if not alike:
+        return state.groupBy("root").agg(*sums)
+    sums += [F.sum("own").alias("o"), F.sum(F.col("own") * F.col("own")).alias("oo"), F.sum("xx").alias("q")]
+    each = state.select("root", F.posexplode("x").alias("i", "y")).groupBy("root", "i").agg(F.sum("y").alias("y"))
+    vectors = each.groupBy("root").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "y"))), lambda v: v["y"]).alias("s"))
+    return state.groupBy("root").agg(*sums).join(vectors, "root", "left")
+
+
+def _dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _inertias(vectors: DataFrame) -> tuple[DataFrame, float]:
+    """(id, x, xx, own) with own the sum of squared distances to all, and 2nV with V the scatter about the mean."""
+    v = vectors.select("id", F.transform("vector", lambda x: x.cast("double")).alias("x")).withColumn("xx", _dot("x", "x"))
+    total = v.select(F.posexplode("x").alias("i", "y")).groupBy("i").agg(F.sum("y").alias("y")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "y"))), lambda s: s["y"]).alias("s"))
+    whole = v.agg(F.sum("xx").alias("q"), F.count(F.lit(1)).alias("n")).join(F.broadcast(total))
+    row = whole.select("q", "n", (F.col("q") - _dot("s", "s") / F.col("n")).alias("v")).first()
+    own = v.join(F.broadcast(whole)).select("id", "x", "xx", (F.col("n") * F.col("xx") - 2 * _dot("x", "s") + F.col("q")).alias("own"))
+    return own, 2.0 * (row["n"] or 0) * max(row["v"] or 0.0, 0.0)
+
+
+def louvain(graph: Graph, directed: bool = False, threshold: float = 1e-4, max_rounds: int = 1000, inertial_weight: float = 0.0, key: str | None = None, involved: list[str] | None = None, uninvolved: list[str] | None = None) -> DataFrame:
     """(id, cluster): one level of modularity moves over the 0/1 adjacency. Clusters are numbered from 1 by their least position.
 
-    Components are independent: one of at most ``local_limit`` edges is one task's sequential sweep. A larger one is
-    moved in rounds over the whole cluster, in which half of the vertices, by hash, choose at a time.
+    It moves in rounds over the whole cluster, the same at every size. In a round every vertex works out what the best neighbouring community would
+    gain, from sums per community; of those that would gain, half, by hash of vertex and round, move. Of two communities of one vertex,
+    only the later joins the earlier, so they don't swap. It ends when no vertex would gain, or when ``SETTLED`` rounds together raise the quality by less
+    than ``threshold``; the partition of highest quality is the result. With ``inertial_weight`` the likeness of properties counts as well.
     """
     place = graph.vertices.select("id", "pos")
-    kind = graph.vertices.schema["id"].dataType.simpleString()
-    parts = weak_components(graph)
-    vector = "vector" if inertial_weight else None
-    nodes = place.select(F.col("id").alias("src"), F.lit(None).cast(kind).alias("dst"), "pos")
-    arcs = graph.edges.join(parts.select(F.col("id").alias("src")), "src", "left_semi").join(parts.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "pos")
-    rows = nodes.unionByName(arcs).join(parts.withColumnRenamed("id", "src"), "src")
-    if vector:
-        encoded = one_hot(property_table(graph.vertices, key), involved, uninvolved).select(F.col("id").alias("src"), "vector")
-        rows = rows.join(encoded, "src", "left").withColumn("vector", F.when(F.col("dst").isNull(), F.col("vector")))
-    size = rows.groupBy("component").count()
-    small = size.where(F.col("count") <= local_limit).select("component")
-    run = _moves(inertial_weight, directed, threshold, sweeps)
-    out = rows.join(small, "component", "left_semi").groupBy("component").applyInPandas(run, f"id {kind}, root {kind}")
-    if not size.where(F.col("count") > local_limit).isEmpty():
-        if inertial_weight:
-            raise ValueError("a component too large for a task has no moves by properties")
-        large = parts.join(small, "component", "left_anti").select("id")
-        part = Graph(graph.vertices.join(large, "id", "left_semi"), graph.edges.join(large.withColumnRenamed("id", "src"), "src", "left_semi"))
-        out = out.unionByName(louvain_rounds(part, directed))
-    out = stage(out, "louvain")
-    first = out.join(place, "id").groupBy("root").agg(F.min("pos").alias("first"))
-    from graphlake.plans.numbering import dense_index
-
+    near = _votes(graph, directed)
+    near = near.join(place.withColumnsRenamed({"id": "id", "pos": "u"}), "id").join(place.withColumnsRenamed({"id": "other", "pos": "v"}), "other")
+    near = stage(near.select("u", "v"), "moves-near")
+    nodes = place.join(near.groupBy(F.col("u").alias("pos")).agg(F.count(F.lit(1)).cast("double").alias("k")), "pos", "left").select(F.col("pos").alias("id"), F.coalesce("k", F.lit(0.0)).alias("k"), F.col("id").alias("name"))
+    alike, scale = False, 0.0
+    if inertial_weight:
+        encoded = one_hot(property_table(graph.vertices, key), involved, uninvolved).select("id", "vector")
+        own, scale = _inertias(encoded)
+        alike = scale > 0
+        if alike:
+            nodes = nodes.join(own.withColumnRenamed("id", "name"), "name")
+    nodes = stage(nodes, "moves-nodes")
+    m2 = nodes.agg(F.sum("k")).first()[0] or 0.0
+    state = stage(nodes.select("id", F.col("id").alias("root")), "moves")
+    if m2:
+        state = _settle_moves(near.where("u <> v"), nodes, state, m2, threshold, max_rounds, inertial_weight if alike else 0.0, scale, near.where("u = v").count())
+    first = state.groupBy("root").agg(F.min("id").alias("first"))
     named = dense_index(first, ["first"], "n").select("root", (F.col("n") + 1).alias("cluster"))
-    return out.join(named, "root").select("id", "cluster")
-
-
-def louvain_rounds(graph: Graph, directed: bool = False, max_rounds: int = 24) -> DataFrame:
-    """(id, root): modularity moves over the whole cluster; in round r the vertices whose hash with r is odd choose their best community."""
-    near = stage(_votes(graph, directed).where("id <> other"), "moves-near")
-    deg = stage(near.groupBy("id").agg(F.count(F.lit(1)).cast("double").alias("k")), "moves-degree")
-    m2 = deg.agg(F.sum("k")).first()[0] or 0.0
-    state = stage(graph.vertices.select("id", F.col("id").alias("root")), "moves")
-    if not m2:
-        return state
-    best, kept = -1.0, state
+    return state.join(named, "root").select("id", "cluster").withColumnRenamed("id", "pos").join(place, "pos").select("id", "cluster")
+
+
+def _settle_moves(near: DataFrame, nodes: DataFrame, state: DataFrame, m2: float, threshold: float, max_rounds: int, weight: float, scale: float, loops: int) -> DataFrame:
+    """(id, root) of highest quality that rounds of moves reach."""
+    best, kept, history = None, state, []
+    likeness = lambda o, m, q, s: 2 * (F.col("own") * o / scale**2 - (m * F.col("xx") - 2 * _dot(F.col("x"), s) + q) / scale)  # noqa: E731  of a vertex to a cluster with these sums
     for r in range(max_rounds):
-        sums = state.join(deg, "id").groupBy("root").agg(F.sum("k").alias("total"))
-        links = near.join(state.withColumnsRenamed({"id": "other", "root": "to"}), "other").groupBy("id", "to").agg(F.count(F.lit(1)).alias("n"))
-        scored = links.join(sums.withColumnRenamed("root", "to"), "to").join(state, "id").join(deg, "id")
-        stay = F.col("to") == F.col("root")
-        gain = F.col("n") - (F.col("total") - F.when(stay, F.col("k")).otherwise(0.0)) * F.col("k") / m2
-        pick = scored.groupBy("id").agg(F.max(F.when(stay, gain)).alias("stay"), F.max_by("to", F.when(~stay, gain)).alias("to"), F.max(F.when(~stay, gain)).alias("gain"))
-        chosen = pick.where((F.col("gain") > F.coalesce("stay", F.lit(0.0)) + 1e-12) & (F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 1)).select("id", "to")
-        state = stage(state.join(chosen, "id", "left").select("id", F.coalesce("to", "root").alias("root")), "moves")
-        now = modularity(graph, state.withColumnRenamed("root", "cluster"), directed).first()["value"]
-        if now > best + 1e-6:
-            best, kept = now, state
-        elif r > 3:
-            break
-    return kept
+        full = state.join(nodes, "id")
+        sums = stage(_cluster_sums(full, bool(weight)), "moves-sums")
+        links = near.join(state.withColumnsRenamed({"id": "v", "root": "to"}), "v").groupBy(F.col("u").alias("id"), "to").agg(F.count(F.lit(1)).alias("n"))
+        here = full.join(sums, "root").withColumnsRenamed({c: f"h_{c}" for c in sums.columns if c != "root"})
+        scored = here.join(links, "id", "left").join(sums.withColumnRenamed("root", "to"), "to", "left")
+        stays = F.col("to") == F.col("root")
+        gain = F.col("n") - F.col("total") * F.col("k") / m2
+        home = -(F.col("h_total") - F.col("k")) * F.col("k") / m2
+        if weight:
+            gain = gain + weight * m2 / 2 * likeness(F.col("o"), F.col("size"), F.col("q"), F.col("s"))
+            left = F.zip_with("h_s", "x", lambda a, b: a - b)
+            home = home + weight * m2 / 2 * likeness(F.col("h_o") - F.col("own"), F.col("h_size") - 1, F.col("h_q") - F.col("xx"), left)
+        fine = ~stays & ((F.col("h_size") > 1) | (F.col("size") > 1) | (F.col("to") < F.col("root")))
+        scored = scored.select("id", "root", home.alias("home"), F.when(stays, F.col("n")).alias("inside"), F.when(fine, F.struct(gain.alias("gain"), (-F.col("to")).alias("low"))).alias("move"))
+        pick = scored.groupBy("id", "root").agg(F.first("home").alias("home"), F.max("inside").alias("inside"), F.max("move").alias("move"))
+        wants = F.coalesce(F.col("move.gain") > F.col("home") + F.coalesce("inside", F.lit(0)) + 1e-9, F.lit(False))
+        turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 1
+        table = stage(pick.select("id", "root", F.coalesce("inside", F.lit(0)).alias("inside"), wants.alias("wants"), F.when(wants & turn, -F.col("move.low")).otherwise(F.col("root")).alias("to")), "moves-picked")
+        found = table.agg(F.sum("inside").alias("inside"), F.sum(F.col("wants").cast("int")).alias("wants")).first()
+        squares = sums.agg(F.sum(F.col("total") * F.col("total"))).first()[0]
+        quality = ((found["inside"] + loops) - squares / m2) / m2
+        if weight:
+            value = (F.col("o") * F.col("o") - F.col("oo")) / scale**2 - 2 * (F.col("size") * F.col("q") - _dot("s", "s")) / scale
+            quality += weight * sums.agg(F.sum(value)).first()[0]
+        if best is None or quality > best:
+            best, kept = quality, state
+        history.append(best)
+        done = not found["wants"] or (len(history) > SETTLED and best - history[-1 - SETTLED] < threshold)
+        discard(sums)
+        if done:
+            return kept
+        state = table.select("id", F.col("to").alias("root"))
+    raise RuntimeError(f"moves do not settle in {max_rounds} rounds")
 
 
 def i_louvain(graph: Graph, key: str, directed: bool = False, threshold: float = 1e-4, involved: list[str] | None = None, uninvolved: list[str] | None = None, inertial_weight: float = 1.0) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from graphs import ABC, F1, F2, F3, F4, F5, F7, F8, F9, F14, F14_LABELS, graph
 from pyspark.sql import functions as F
@@ -160,10 +162,36 @@ def test_communities(spark):
     edges = {(a, b): (w, n) for a, b, w, n in rows(community.cluster_edges(g, got))}
     assert len(edges) == 6 and edges[1, 1][1] == 13 and edges[2, 2] == (14.0, 10)
     assert {len(x) for x in groups.values()} == {5}
-    rounds = community.louvain_rounds(g)
-    assert rounds.count() == 15
-    labels = community.label_propagation(g)
-    assert labels.count() == 15
+    labels = {int(i): c for i, c in rows(community.label_propagation(g))}
+    assert len({labels[i] for i in range(5)}) == 1 and len({labels[i] for i in range(5, 10)}) == 1 and len({labels[i] for i in range(10, 15)}) == 1
+
+
+def _modularity(edges, cluster):
+    near = {(a, b) for a, b in edges} | {(b, a) for a, b in edges}
+    k = {}
+    for a, _ in near:
+        k[a] = k.get(a, 0) + 1
+    m2 = len(near)
+    total = {}
+    for a, c in cluster.items():
+        total[c] = total.get(c, 0) + k.get(a, 0)
+    return (sum(cluster[a] == cluster[b] for a, b in near) - sum(t * t for t in total.values()) / m2) / m2
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_louvain_leaves_no_move_that_gains(spark, seed):
+    """On a random graph with planted groups: within the threshold, no single vertex gains by joining a neighbour's cluster, or by leaving."""
+    rng = random.Random(seed)
+    n = 40
+    edges = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(400)} & {(a, b) for a in range(n) for b in range(n) if a // 10 == b // 10 or rng.random() < 0.15})
+    text = " ".join(f"{a}>{b}" for a, b in edges)
+    got = {int(i): c for i, c in rows(community.louvain(graph(spark, text, " ".join(map(str, range(n))))))}
+    assert set(got) == set(range(n)) and sorted(set(got.values())) == list(range(1, len(set(got.values())) + 1))
+    now = _modularity(edges, got)
+    assert now > 0.3
+    for i in range(n):
+        for c in {got[b] for a, b in edges if a == i} | {got[a] for a, b in edges if b == i} | {0}:
+            assert _modularity(edges, got | {i: c}) <= now + 1e-4
 
 
 def test_label_propagation_runs_to_its_end(spark):
