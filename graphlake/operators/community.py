@@ -19,7 +19,8 @@ def k_core(graph: Graph, k: int = 1) -> Graph:
     while True:
         ends = edges.select(F.explode(F.array("src", "dst")).alias("id"))
         deep = ends.groupBy("id").count().where(F.col("count") >= k).select("id")
-        edges = stage(edges.join(deep.withColumnRenamed("id", "src"), "src", "left_semi").join(deep.withColumnRenamed("id", "dst"), "dst", "left_semi").select(graph.edges.columns), "core")
+        last, edges = edges, stage(edges.join(deep.withColumnRenamed("id", "src"), "src", "left_semi").join(deep.withColumnRenamed("id", "dst"), "dst", "left_semi").select(graph.edges.columns), "core")
+        discard(last)
         now = edges.count()
         if now == size:
             break
@@ -41,12 +42,14 @@ def label_propagation(graph: Graph, directed: bool = False, max_rounds: int = 10
     labels for ever; the labels are then those that ``max_rounds`` rounds would give.
     """
     near = stage(_votes(graph, directed), "labels-near")
-    state = stage(graph.vertices.select("id", F.col("pos").alias("label"), F.lit(None).cast("long").alias("own")), "labels")
+    state = table = stage(graph.vertices.select("id", F.col("pos").alias("label"), F.lit(None).cast("long").alias("own")), "labels")
     for r in range(1, max_rounds + 1):
         votes = near.join(state.select(F.col("id").alias("other"), "label"), "other").groupBy("id", "label").agg(F.count(F.lit(1)).alias("n"))
         own = state.select("id", F.col("label").alias("own"), F.col("own").alias("older"))
         best = votes.join(own, "id").groupBy("id").agg(F.max(F.struct("n", (F.col("label") == F.col("own")).alias("same"), (-F.col("label")).alias("low"))).alias("b"))
         nxt = stage(own.join(best, "id", "left").select("id", F.coalesce(-F.col("b.low"), "own").alias("label"), "own", "older"), "labels")
+        discard(table)
+        table = nxt
         moved, other = nxt.agg(F.max(F.col("label") != F.col("own")), F.max(~F.col("label").eqNullSafe(F.col("older")))).first()
         state = nxt.select("id", "label", "own")
         if not moved:

@@ -72,7 +72,8 @@ def strong_components(graph, max_rounds: int = 10_000) -> DataFrame:
         colour = stage(arcs.select(F.col("u").alias("n")).union(arcs.select("v")).distinct().withColumn("c", F.col("n")), "scc-colour")
         while True:  # forward: the least position that reaches a vertex
             met = arcs.join(colour.select(F.col("n").alias("u"), "c"), "u").groupBy(F.col("v").alias("n")).agg(F.min("c").alias("m"))
-            colour = stage(colour.join(met, "n", "left").select("n", F.least("c", "m").alias("c")), "scc-colour")
+            last, colour = colour, stage(colour.join(met, "n", "left").select("n", F.least("c", "m").alias("c")), "scc-colour")
+            discard(last)
             now = colour.agg(F.sum("c")).first()[0]
             if now == size:
                 break
@@ -90,6 +91,8 @@ def strong_components(graph, max_rounds: int = 10_000) -> DataFrame:
         done = found if done is None else done.unionByName(found)
         gone = found.select("n")
         arcs = stage(arcs.join(gone.withColumnRenamed("n", "u"), "u", "left_anti").join(gone.withColumnRenamed("n", "v"), "v", "left_anti"), "scc")
+    else:
+        raise RuntimeError(f"components left after {max_rounds} rounds")
     if done is None:
         return place.select("id", F.col("id").alias("component"))
     named = place.join(done, F.col("pos") == F.col("n"), "left").select("id", F.coalesce("c", "pos").alias("root"))
@@ -98,10 +101,13 @@ def strong_components(graph, max_rounds: int = 10_000) -> DataFrame:
 
 def trim(arcs: DataFrame) -> DataFrame:
     """(u, v) without those at vertices that lack an edge in or out, repeatedly: empty if and only if there is no cycle."""
-    size = -1
+    size, before = -1, None
     while True:
         arcs = arcs.join(arcs.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(arcs.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
-        arcs = stage(arcs.select("u", "v"), "trim")
+        last, arcs = before, stage(arcs.select("u", "v"), "trim")
+        before = arcs
+        if last is not None:
+            discard(last)
         now = arcs.count()
         if now == size or not now:
             return arcs

@@ -67,7 +67,7 @@ def simple_cycles(graph: Graph, nodes: list | None = None, include: bool = True,
         step = frontier.join(arcs.select(F.col("u").alias("last"), F.col("v").alias("to"), F.col("dst").alias("next")), "last")
         return step.where((F.col("to") > F.col("start")) & ~F.array_contains("path", F.col("next"))).select("start", F.col("to").alias("last"), F.concat("path", F.array("next")).alias("path"))
 
-    ways = grow(longer, first, (max_length - 2) if max_length else 1_000_000, "cycle") if max_length is None or max_length > 2 else first
+    ways = grow(longer, first, (max_length - 2) if max_length else None, "cycle") if max_length is None or max_length > 2 else first
     closed = ways.join(arcs.select(F.col("u").alias("last"), F.col("v").alias("start")), ["last", "start"], "left_semi").select("path").unionByName(loops)
     if max_length:
         closed = closed.where(F.size("path") <= max_length)

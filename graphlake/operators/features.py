@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 from graphlake.graph import Graph
 from graphlake.plans.staging import stage
 
-#: What counts as a date in a string.
-DATE = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}(\s\d{1,2}:\d{1,2}:\d{1,2})?$"
+#: What counts as a date in a string, with one kind of separator, and a time after one space.
+DATE = r"^\d{1,4}(-|/)\d{1,2}\1\d{1,2}( \d{1,2}:\d{1,2}:\d{1,2})?$"
 
 
 def _both(a: Column, b: Column, f) -> Column:

@@ -73,8 +73,8 @@ def _codes(directed: bool):
     return code
 
 
-def frequent_subgraphs(vertices: DataFrame, edges: DataFrame, min_support: int = 2, min_nodes: int = 1, max_nodes: int = 4, max_edges: int | None = None, directed: bool = False) -> DataFrame:
-    """(pattern, nodes, edges, support) of connected subgraphs with at least one edge.
+def frequent_subgraphs(vertices: DataFrame, edges: DataFrame, min_support: int = 2, min_nodes: int = 1, max_nodes: int = 4, max_edges: int | None = None, directed: bool = False, top: int | None = None) -> DataFrame:
+    """(pattern, nodes, edges, support) of connected subgraphs with at least one edge; with ``top`` only those of highest support.
 
     A level adds one edge to each place of a frequent pattern; places are sets of edges, each found once, and patterns
     that are the same up to names have the same code. A pattern's support never exceeds its parts', so levels shrink.
@@ -103,4 +103,14 @@ def frequent_subgraphs(vertices: DataFrame, edges: DataFrame, min_support: int =
     out = results[0] if results else vertices.sparkSession.createDataFrame([], "pattern string, nodes int, edges int, support long")
     for r in results[1:]:
         out = out.unionByName(r)
-    return out
+    return out if top is None else out.orderBy(F.desc("support"), "pattern").limit(top)
+
+
+def pattern_graphs(patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graphs that ``pattern`` strings write down: (pattern, id, label) and (pattern, src, dst, label)."""
+    part = F.split("pattern", ";")
+    vertices = patterns.select("pattern", F.posexplode(F.split(part[0], ",")).alias("id", "label"))
+    edge = F.regexp_extract_all(part[1], F.lit(r"[0-9]+-[^,]*-[0-9]+"), F.lit(0))
+    lines = patterns.select("pattern", F.explode(edge).alias("e"))
+    take = lambda n: F.regexp_extract("e", r"^([0-9]+)-(.*)-([0-9]+)$", n)
+    return vertices, lines.select("pattern", take(1).cast("int").alias("src"), take(3).cast("int").alias("dst"), take(2).alias("label"))

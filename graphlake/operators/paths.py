@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphlake.graph import Graph, cost
 from graphlake.plans.iterate import grow
-from graphlake.plans.staging import stage
+from graphlake.plans.staging import discard, stage
 
 
 def _lengths(graph: Graph, directed: bool, weight: str | None, zero_weight: str) -> DataFrame:
@@ -27,10 +27,11 @@ def _settle(graph: Graph, source, arcs: DataFrame, max_rounds: int) -> DataFrame
         offered = state.where("new").withColumnRenamed("id", "src").join(short, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("length") + F.col("w")).alias("other"))
         both = state.select("id", "length").join(offered, "id", "full")
         better = F.col("length").isNull() | (F.col("other") < F.col("length"))
-        state = stage(both.select("id", F.least("length", "other").alias("length"), F.coalesce(F.col("other").isNotNull() & better, F.lit(False)).alias("new")), "path")
+        last, state = state, stage(both.select("id", F.least("length", "other").alias("length"), F.coalesce(F.col("other").isNotNull() & better, F.lit(False)).alias("new")), "path")
+        discard(last)
         if state.where("new").isEmpty():
-            break
-    return state.select("id", "length")
+            return state.select("id", "length")
+    raise RuntimeError(f"lengths do not settle in {max_rounds} rounds: a cycle of negative length?")
 
 
 def shortest_lengths(graph: Graph, source, directed: bool = False, weight: str | None = None, zero_weight: str = "one", max_rounds: int = 100_000) -> DataFrame:
@@ -113,7 +114,7 @@ def simple_paths(graph: Graph, start, end, directed: bool = False, max_hops: int
         step = frontier.withColumnRenamed("last", "src").join(arcs, "src").where(~F.array_contains("path", F.col("dst")))
         return step.select(F.col("dst").alias("last"), F.concat("path", F.array("dst")).alias("path"))
 
-    return grow(longer, first, max_hops or 1_000_000, "path-ways").where(F.col("last") == end).select("path")
+    return grow(longer, first, max_hops, "path-ways").where(F.col("last") == end).select("path")
 
 
 def all_pairs_hops(graph: Graph, directed: bool = False, max_hops: int | None = None) -> DataFrame:
@@ -125,4 +126,4 @@ def all_pairs_hops(graph: Graph, directed: bool = False, max_hops: int | None =
         met = frontier.select("src", F.col("dst").alias("mid")).join(arcs, "mid").select("src", "dst").distinct()
         return met.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("dist", F.lit(i))
 
-    return grow(level, first, max_hops or 1_000_000, "hops")
+    return grow(level, first, max_hops, "hops")

@@ -29,7 +29,7 @@ def bfs(graph: Graph, starts: list, directed: bool = True, allow: Callable[[Colu
         met = met.withColumnRenamed("dst", "id").join(seen.select("id"), "id", "left_anti")
         return met.join(place, "id").select("id", "pos", F.lit(i).alias("depth"), "parent")
 
-    return grow(level, first, max_depth or 1_000_000).select("id", "depth", "parent")
+    return grow(level, first, max_depth).select("id", "depth", "parent")
 
 
 def bfs_visits(graph: Graph, start, directed: bool = True, allow: Callable[[Column, Column], Column] | None = None) -> DataFrame:

@@ -1,38 +1,27 @@
-"""Fixpoint loops over DataFrames.
+"""Loops over DataFrames that end with an empty frontier.
 
-The state of every round is a staged table: a loop's plan stays one round long, a lost executor costs no earlier round, and the
-number that decides on another round is read from the table.
+The state of every round is a staged table: a loop's plan stays one round long, a lost executor costs no earlier round, and whether
+there is another round is read from the table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame
 
-from graphlake.plans.staging import discard, stage
+from graphlake.plans.staging import stage
 
 
-def fixpoint(step: Callable[[DataFrame, int], DataFrame], state: DataFrame, measure: Callable[[DataFrame], object] | None = None, max_rounds: int = 1000, label: str = "round") -> DataFrame:
-    """Applies ``step`` until ``measure`` (a collected aggregate of the state) no longer changes, or for ``max_rounds``."""
-    state = stage(state, label)
-    before = measure(state) if measure else None
-    for i in range(max_rounds):
-        last, state = state, stage(step(state, i), label)
-        discard(last)
-        if measure:
-            now = measure(state)
-            if now == before:
-                break
-            before = now
-    return state
-
-
-def grow(step: Callable[[DataFrame, DataFrame, int], DataFrame], first: DataFrame, max_rounds: int = 1000, label: str = "frontier") -> DataFrame:
-    """The union of ``first`` and all frontiers; ``step`` gets (frontier, all so far, round) and the loop ends with an empty frontier."""
+def grow(step: Callable[[DataFrame, DataFrame, int], DataFrame], first: DataFrame, most: int | None = None, label: str = "frontier") -> DataFrame:
+    """The union of ``first`` and all frontiers; ``step`` gets (frontier, all so far, round). The loop ends with an empty
+    frontier, or where the caller bounds the depth after ``most`` rounds."""
     frontier = stage(first, label)
     parts = [frontier]
-    for i in range(1, max_rounds + 1):
+    for i in count(1):
+        if most is not None and i > most:
+            break
         seen = parts[0]
         for p in parts[1:]:
             seen = seen.unionByName(p)

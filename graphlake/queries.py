@@ -161,7 +161,7 @@ def simple_cycles_short(t):
 
 @query
 def cycle_basis(t):
-    return cycles.cycle_basis(P.trade(t))
+    return cycles.cycle_basis(P.trade(t)).select("path")
 
 
 @query
@@ -209,6 +209,11 @@ def all_pairs_hops_chain(t):
     return paths.all_pairs_hops(P.chain(t), directed=True)
 
 
+@query
+def all_pairs_hops_undirected(t):
+    return paths.all_pairs_hops(P.chain(t))
+
+
 @query
 def sssp_predecessor(t):
     return paths.sssp(P.chain(t), 0, weight="weight")
@@ -234,6 +239,12 @@ def pagerank(t):
     return centrality.pagerank(P.trade(t), epsilon=0.0, max_rounds=20).select("id", F.round("rank", 9).alias("rank"))
 
 
+@query
+def pagerank_converged(t):
+    """Until no rank changes by more than a millionth of a millionth."""
+    return centrality.pagerank(P.trade(t), epsilon=1e-12, max_rounds=1000).select("id", F.round("rank", 9).alias("rank"))
+
+
 @query
 def pagerank_supply(t):
     return centrality.pagerank(P.supply(t), epsilon=0.0, max_rounds=8).select("id", F.round("rank", 9).alias("rank"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphlake.functions.util import BoundedStack, submit, unique_id
 from graphlake.graph import Graph
 from graphlake.operators import centrality, community, components, cycles, features, matching, mining, paths, spanning, structure, traverse
+from graphlake.sources import tables
 
 
 def rows(df):
@@ -323,3 +324,35 @@ def test_read_and_write(spark, tmp_path):
     write_graph(g, str(tmp_path / "g"))
     again = read_graph(spark, str(tmp_path / "g/vertices"), str(tmp_path / "g/edges"), weight="weight", pos="pos", edge_pos="pos")
     assert again.edges.count() == 7 and again.validate() is again
+
+
+def test_compressed_edges(spark):
+    g = graph(spark, *F2)
+    v, e = (x.collect() for x in tables.compressed(g))
+    ids = [r.id for r in sorted(v, key=lambda r: r["index"])]
+    assert [r.index for r in sorted(v, key=lambda r: r["index"])] == list(range(8)) and sorted(r.place for r in e) == list(range(len(e)))
+    by_place = sorted(e, key=lambda r: r.place)
+    for r in v:
+        mine = by_place[r.offset : r.offset + r.degree]
+        assert sorted(ids[x.dst_index] for x in mine) == sorted(x.dst for x in g.edges.where(F.col("src") == r.id).collect()) and all(x.src_index == r["index"] for x in mine)
+
+
+def test_patterns_are_graphs_again(spark):
+    found = spark.createDataFrame([("a,b;0-x-y-1,1-z-0",), ("q,q;0--1",)], "pattern string")
+    v, e = mining.pattern_graphs(found)
+    assert set(rows(v)) == {("a,b;0-x-y-1,1-z-0", 0, "a"), ("a,b;0-x-y-1,1-z-0", 1, "b"), ("q,q;0--1", 0, "q"), ("q,q;0--1", 1, "q")}
+    assert set(rows(e.select("src", "dst", "label"))) == {(0, 1, "x-y"), (1, 0, "z"), (0, 1, "")}
+
+
+def test_dates_have_one_separator(spark):
+    values = {"2024-1-31": True, "24/01/31": True, "2024-01/31": False, "2024-01-31 10:00:00": True, "2024-01-31  10:00:00": False, "20245-1-1": False, "x2024-1-1": False}
+    t = spark.createDataFrame([(v,) for v in values], "v string")
+    assert {r.v for r in t.where(F.col("v").rlike(features.DATE)).collect()} == {v for v, fine in values.items() if fine}
+
+
+def test_bfs_of_a_long_chain(spark):
+    """More than a thousand levels is no bound; few are walked here, with a bound that is a feature."""
+    g = graph(spark, *F1)
+    assert traverse.bfs(g, ["A"], max_depth=1).agg(F.max("depth")).first()[0] == 1
+    with pytest.raises(RuntimeError):
+        paths.shortest_lengths(g, "A", max_rounds=1)
