@@ -330,7 +330,7 @@ def test_compressed_edges(spark):
     g = graph(spark, *F2)
     v, e = (x.collect() for x in tables.compressed(g))
     ids = [r.id for r in sorted(v, key=lambda r: r["index"])]
-    assert [r.index for r in sorted(v, key=lambda r: r["index"])] == list(range(8)) and sorted(r.place for r in e) == list(range(len(e)))
+    assert [r["index"] for r in sorted(v, key=lambda r: r["index"])] == list(range(8)) and sorted(r.place for r in e) == list(range(len(e)))
     by_place = sorted(e, key=lambda r: r.place)
     for r in v:
         mine = by_place[r.offset : r.offset + r.degree]
