@@ -4,7 +4,7 @@ For each language a suffix automaton of a sample of labelled text recognises eve
 parsed greedily into the longest substrings the automaton knows; a phrase costs about the logarithm of the sample's length, and the
 language with the fewest normalised phrases wins. Only letters and the breaks between them are
 compared. Automata are dense tables over classes of bytes, and many stretches of text
-step through all of them together. A text is parsed in stretches of ``STRETCH`` bytes; a phrase ends where its stretch does.
+step through all of them together, which are then joined into the parse of each whole text.
 
 Only learning is bounded: ``pieces`` pieces of ``piece`` characters per language, of distinct documents, those of least hash, and at most
 ``MAX_LANGUAGES`` languages, which is checked. Every text is parsed whole.
@@ -46,6 +46,8 @@ def letters(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     out[after & (raw >= 0x80) & (raw <= 0x9E)] += 0x20
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first of a run of others
+    first = offsets[:-1][offsets[:-1] < len(raw)]
+    keep[first] = letter[first]  # whatever the row before ends with
     total = np.zeros(len(raw) + 1, np.int64)
     np.cumsum(keep, out=total[1:])
     return out[keep], total[offsets]
@@ -103,44 +105,73 @@ class Model:
         self.bits = np.array([log2(max(len(folded[lang]), 2)) for lang in self.languages])
 
     def phrases(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """rows x languages: phrases of each row's parse."""
+        """rows x languages: phrases of each row's parse.
+
+        Stretches are parsed side by side, each as if a phrase started where it does. A row's parse is that of its first stretch, which
+        goes on into the next ones until it starts a phrase where theirs does too: from there on both are the same.
+        """
         raw, offsets = letters(raw, offsets)
         rows, langs = len(offsets) - 1, len(self.languages)
         size = np.diff(offsets)
         lanes = -(-size // STRETCH)
         row = np.repeat(np.arange(rows), lanes)
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        start = offsets[row] + nth * STRETCH
-        long = np.minimum(size[row] - nth * STRETCH, STRETCH)
-        by = np.argsort(-long, kind="stable")
-        row, start, long = row[by], start[by], long[by]
-        width = self.width
+        head = np.cumsum(lanes) - lanes
+        start = offsets[row] + (np.arange(len(row)) - head[row]) * STRETCH
+        long = np.minimum(offsets[row + 1] - start, STRETCH)
         cls = self.classes[raw]
-        roots = np.array(self.base, np.int32)[:, None]
-        state = np.repeat(roots, len(row), axis=1)
-        count = np.zeros((langs, len(row)), np.int32)
+        roots = np.array(self.base, np.int32)
+        begins = np.zeros((langs, len(raw)), bool)  # a phrase of the stretch's own parse starts here
+        by = np.argsort(-long, kind="stable")
+        state = np.repeat(roots[:, None], len(row), axis=1)
         live = len(row)
-        for t in range(int(long[0]) if live else 0):
-            while live and long[live - 1] <= t:
+        for t in range(int(long[by[0]]) if live else 0):
+            while live and long[by[live - 1]] <= t:
                 live -= 1
-            c = cls[start[:live] + t]
-            now = state[:, :live]
-            to = self.table[now * width + c]
-            lane_lang, lane = np.nonzero(to == 0)
-            if len(lane):
-                root, byte = roots[lane_lang, 0], c[lane]
-                again = self.table[root * width + byte]
-                unknown = again == 0
-                # the open phrase, if any, ends; a byte that the sample lacks is a phrase by itself
-                count[lane_lang, lane] += (now[lane_lang, lane] != root).astype(np.int32) + unknown
-                to[lane_lang, lane] = np.where(unknown, root, again)
-            state[:, :live] = to
-        count += state != roots
-        out = np.zeros((rows, langs), np.int64)
-        for k in range(langs):
-            out[:, k] = np.bincount(row, count[k], rows)
+            at = start[by[:live]] + t
+            state[:, :live], begins[:, at] = self._step(state[:, :live], cls[at], roots[:, None])
+        ends = np.empty_like(state)
+        ends[:, by] = state
+        total = np.zeros((langs, len(raw) + 1), np.int32)
+        np.cumsum(begins, axis=1, out=total[:, 1:])
+        out = (total[:, offsets[1:]] - total[:, offsets[:-1]]).T.astype(np.int64)
+        if len(row) > rows or (lanes > 1).any():
+            joins, more = self._join(cls, begins, ends, row, start + long, offsets, roots)
+            for r in np.flatnonzero(lanes > 1).tolist():
+                for k in range(langs):
+                    lane, at, n = int(head[r]), int(offsets[r]), 0
+                    while True:
+                        n += int(total[k, start[lane] + long[lane]] - total[k, at]) + int(more[k, lane])
+                        at = int(joins[k, lane])
+                        if at < 0:
+                            break
+                        lane = int(head[r]) + (at - int(offsets[r])) // STRETCH
+                    out[r, k] = n
         return out
 
+    def _step(self, now: np.ndarray, c: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a byte of each class, and whether it starts a phrase. A byte that the sample lacks is a phrase by itself."""
+        to = self.table[now * self.width + c]
+        stop = to == 0
+        fresh = stop | (now == root)
+        if stop.any():
+            again = self.table[root * self.width + c]
+            to = np.where(stop, np.where(again == 0, root, again), to)
+        return to, fresh
+
+    def _join(self, cls, begins, ends, row, stop, offsets, roots) -> tuple[np.ndarray, np.ndarray]:
+        """languages x stretches: where a stretch's parse meets that of a later one (-1 at the text's end), and the phrases it starts before that."""
+        joins, more = np.full(ends.shape, -1, np.int64), np.zeros(ends.shape, np.int64)
+        lang, lane = np.nonzero(np.broadcast_to(stop < offsets[row + 1], ends.shape))
+        now, at = ends[lang, lane], stop[lane].copy()
+        while len(lang):
+            to, fresh = self._step(now, cls[at], roots[lang])
+            met = fresh & begins[lang, at]
+            joins[lang[met], lane[met]] = at[met]
+            more[lang, lane] += fresh & ~met
+            goes = ~met & (at + 1 < offsets[row[lane] + 1])
+            lang, lane, now, at = lang[goes], lane[goes], to[goes], at[goes] + 1
+        return joins, more
+
     def identify(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the winner of each row, and its share of the belief in all languages."""
         cost = self.phrases(raw, offsets) * self.bits
@@ -184,7 +215,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for batch in batches:
             raw, offsets = K.text_bytes(batch.column("text"))
             letters = batch.column("letters").to_numpy(zero_copy_only=False)
-            for lo, hi in K.blocks(offsets, 2 << 20):
+            for lo, hi in K.blocks(offsets, max((8 << 20) // max(len(m.languages), 4), 1 << 16)):
                 at = offsets[lo : hi + 1]
                 und = ~letters[lo:hi]
                 if m.languages:

@@ -607,6 +607,28 @@ def test_cross_parsing():
     assert model.phrases(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])).tolist() == [[n]]
 
 
+@pytest.mark.parametrize("stretch", [3, 17, 64, 2048])
+def test_stretches_join_into_one_parse(monkeypatch, stretch):
+    """Texts of any length against a greedy parse by brute force, with periodic ones that take long to meet."""
+    monkeypatch.setattr(language, "STRETCH", stretch)
+    rng = random.Random(stretch)
+    samples = {"p": "".join(rng.choice("ab ") for _ in range(60)), "q": "abcabcabcabc", "r": "ababab cc"}
+    texts = ["".join(rng.choice("abcd ") for _ in range(n)).replace("  ", " ") for n in (0, 1, 5, 70, 400, 5000)] + ["abc" * 900, "ab" * 700 + "c" * 30, "d" * 100, "", "!"]
+    model = language.Model({k: v.encode() for k, v in samples.items()})
+    fold = lambda t: language.letters(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0].tobytes().decode()
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    got = model.phrases(raw, np.cumsum([0, *map(len, texts)]))
+    for t, counts in zip(map(fold, texts), got.tolist(), strict=True):
+        for lang, count in zip(model.languages, counts, strict=True):
+            known, i, n = fold(samples[lang]), 0, 0
+            while i < len(t):
+                k = 1
+                while i + k < len(t) and t[i : i + k + 1] in known:
+                    k += 1
+                i, n = i + k, n + 1
+            assert count == n, (lang, t)
+
+
 def test_language(spark):
     rng = random.Random(8)
     kinds = {"aa": ["bra", "ko", "ti", "um"], "bb": ["zee", "vij", "oor", "lag"], "cc": ["nna", "ché", "glio", "ss"]}
