@@ -8,13 +8,14 @@ import tempfile
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphlake.llm import decontaminate, exact_dedup, katz, kernel, language, license_scan, minhash, mixing, pii, queries, substring_dedup, toxicity
+from graphlake.llm import decontaminate, exact_dedup, katz, kernel, language, license_scan, minhash, mixing, pii, queries, sql, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, key string, digest string, span string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -222,7 +223,7 @@ def components_of(texts):
     links = 0
     for a in range(len(sets)):
         for b in range(a):
-            if sets[a] and 100 * (k := len(sets[a] & sets[b])) >= 75 * (len(sets[a]) + len(sets[b]) - k):
+            if sets[a] and 100 * min(len(sets[a]), len(sets[b])) >= 75 * max(len(sets[a]), len(sets[b])) and 100 * (k := len(sets[a] & sets[b])) >= 75 * (len(sets[a]) + len(sets[b]) - k):
                 links += 1
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
@@ -648,21 +649,82 @@ def test_language(spark):
 
 
 def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    sf, stages = "/root/testdata/sf0.001", corpus_pipeline.STAGES
+    """Each stage, and the whole run, against brute force on a small table; which documents are toxic is the operator's own word."""
+    sf, stages = "/root/testdata/sf0.01", corpus_pipeline.STAGES
     assert [n for n, _ in stages] == ["toxicity", "exact dedup", "near dedup", "decontamination", "mixing"]
-    table, texts = docs, None
-    for name, apply in stages[:-1]:
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    model = toxicity.fit(docs.join(labels, "doc_id").select(F.col("doc_id").alias("id"), "text", "label"))
+    toxic = {r.id for r in toxicity.score(docs, model).collect() if r.predicted}
+    rows = {r.doc_id: r for r in docs.collect()}
+    assert len(rows) == docs.count()
+    kept = [sorted(set(rows) - toxic)]
+    first = {}
+    for i in kept[-1]:
+        first.setdefault(low(rows[i].text), i)
+    kept.append(sorted(first.values()))
+    root, _ = components_of([rows[i].text for i in kept[-1]])
+    kept.append([i for k, i in enumerate(kept[-1]) if root[k] == k])
+    words = lambda t: LETTER_WORD.findall(low(t))
+    grams = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = words(r.text)
+        grams |= {tuple(w[k : k + 10]) for k in range(max(len(w) - 9, 1))} if w else set()
+    sizes = {len(g) for g in grams}
+    kept.append([i for i in kept[-1] for w in [words(rows[i].text)] if not any(tuple(w[k : k + n]) in grams for n in sizes for k in range(len(w) - n + 1))])
+    table = docs
+    for (name, apply), want in zip(stages, kept, strict=False):
         out = apply(spark, table, sf)
-        assert out.columns == docs.columns
-        out = spark.createDataFrame(out.collect(), docs.schema)
-        assert {r.doc_id for r in out.collect()} <= {r.doc_id for r in table.collect()}
-        if name == "exact dedup":
-            texts = Counter(low(r.text) for r in out.collect())
-            assert max(texts.values()) == 1 and len(texts) == len({low(r.text) for r in table.collect()})
-        table = out
-    mixed = stages[-1][1](spark, table, sf).collect()
-    assert {r.doc_id for r in mixed} <= {r.doc_id for r in table.collect()}
-    assert Counter(r.doc_id for r in mixed).most_common(1)[0][1] <= 3
+        assert out.columns == docs.columns, name
+        got = sorted(out.collect(), key=lambda r: r.doc_id)
+        assert [r.doc_id for r in got] == want and all(r == rows[r.doc_id] for r in got), name
+        table = spark.createDataFrame(got, docs.schema)
+    assert len(kept[-1]) < len(kept[0]) < len(rows)
+    con = duckdb.connect()
+    con.register("documents", pa.Table.from_pylist([rows[i].asDict() for i in kept[-1]]))
+    plan = {i: n for i, n in con.sql(f"SELECT doc_id, taken FROM ({sql.OP5})").fetchall() if n}
+    for got in (stages[-1][1](spark, table, sf).collect(), corpus_pipeline.run(spark, sf).collect()):
+        taken = Counter()
+        for r in got:
+            taken[r.doc_id] += r.taken
+            assert len(WORD.findall(r.text)) == r.taken and rows[r.doc_id].text.startswith(r.text) and r.lang == rows[r.doc_id].lang
+        assert dict(taken) == plan
+        assert sorted((r.doc_id, r.epoch) for r in got) == sorted((i, e) for i in taken for e in range(sum(r.doc_id == i for r in got)))
+
+
+def test_repeats_against_words(spark):
+    """The sentences that repeated spans cover, with spans compared by their words."""
+    rng = random.Random(9)
+    vocabulary = [f"t{i}" for i in range(400)]
+    sentence = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n)) + rng.choice([". ", "! ", "\n", " "])
+    shared = ["".join(sentence(rng.randint(1, 14)) for _ in range(rng.randint(3, 9))) for _ in range(12)]
+    texts = ["".join(rng.choice(shared) if rng.random() < 0.4 else sentence(rng.randint(1, 25)) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    texts += [texts[5], texts[5].upper(), "One. Two. Three.", "One. Two. Three.", shared[0] * 3, None, "", " .!"]
+    run, least = substring_dedup.RUN, substring_dedup.LEAST_WORDS
+    seen, spans, total = {}, [], []
+    for t in texts:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        w, starts = substring_dedup.sentences(raw, np.array([0, len(raw)]))
+        words = [raw[a:b].tobytes().decode().lower() for a, b in zip(w.start, w.end, strict=True)]
+        bound, n, own = [*starts.tolist(), len(words)], len(starts), []
+        for a in range(n):
+            to = max(min(a + run, n), next((k for k in range(n + 1) if bound[k] >= bound[a] + least), n + 1))
+            if to <= n and (a + run <= n or (a == 0 and n < run)):
+                own.append((a, to, tuple(words[bound[a] : bound[to]])))
+        spans.append(own)
+        total.append(n)
+    for i, own in enumerate(spans):
+        for _, _, x in own:
+            seen.setdefault(x, i)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.id: r for r in substring_dedup.find_repeats(table).collect()}
+    some = 0
+    for i, own in enumerate(spans):
+        gone, here = set(), set()
+        for a, to, x in own:
+            if seen[x] < i or x in here:
+                gone |= set(range(a, to))
+            here.add(x)
+        assert got[i].sentences == total[i] and got[i].removed == sorted(gone), i
+        some += bool(gone)
+    assert some > 20
