@@ -13,12 +13,12 @@ from graphlake.plans.staging import stage
 def minimum_spanning_forest(graph: Graph, weight: str | None = None, method: str = "kruskal") -> DataFrame:
     """The edges (all their columns) of the minimum spanning forest; "prim" keeps the tree of the vertex of least position.
 
-    Edges are ordered by (weight, position), which makes the forest unique; without a weight by position. In each round every
+    Edges are ordered by (weight, position, ends), which makes the forest unique; without a weight by position. In each round every
     component takes its least edge to another, and components joined so become one.
     """
     if method not in ("kruskal", "prim"):
         raise ValueError("method is 'kruskal' or 'prim'")
-    order = F.struct(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("w") if weight else F.lit(0.0).alias("w"), F.col("pos").alias("p"))
+    order = F.struct(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("w") if weight else F.lit(0.0).alias("w"), F.col("pos").alias("p"), F.col("src").alias("s"), F.col("dst").alias("t"))
     place = graph.vertices.select("id", "pos")
     edges = graph.edges
     if method == "prim":
@@ -40,4 +40,4 @@ def minimum_spanning_forest(graph: Graph, weight: str | None = None, method: str
         left = stage(left.where("a <> b").select("o", "a", "b"), "forest")
     if chosen is None:
         return graph.edges.limit(0)
-    return edges.join(chosen.select(F.col("o.p").alias("pos")), "pos", "left_semi").select(graph.edges.columns)
+    return edges.join(chosen.select(F.col("o.p").alias("pos"), F.col("o.s").alias("src"), F.col("o.t").alias("dst")), ["pos", "src", "dst"], "left_semi").select(graph.edges.columns)

@@ -17,9 +17,10 @@ class Tables:
 
 
 def _graph(vertices: DataFrame, edges: DataFrame, place: bool = True) -> Graph:
-    """Long identifiers are their own positions; an edge's position is made of its ends where they allow it."""
+    """Long identifiers are their own positions; an edge's position is made of its ends, in their order below 2**31, else by hash."""
     v = vertices.withColumn("pos", F.col("id")) if place else vertices
-    pos = F.col("src") * F.lit(1 << 31) + F.col("dst")
+    small = F.col("src").between(0, (1 << 31) - 1) & F.col("dst").between(0, (1 << 31) - 1)
+    pos = F.when(small, F.col("src") * F.lit(1 << 31) + F.col("dst")).otherwise(F.xxhash64("src", "dst"))
     e = edges.select("src", "dst", pos.alias("pos"), F.col("weight").cast("double").alias("weight"), F.lit(None).cast("string").alias("label"))
     return Graph(v, e)
 
