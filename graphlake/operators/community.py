@@ -10,7 +10,7 @@ from graphlake.operators.features import one_hot, property_table
 from graphlake.plans.numbering import dense_index
 from graphlake.plans.staging import discard, stage
 
-SETTLED = 4  # rounds that together must raise the quality of moves
+SETTLED = 4  # rounds, in which every vertex has its turn twice, that together must raise the quality of moves
 
 
 def k_core(graph: Graph, k: int = 1) -> Graph:
@@ -135,7 +135,7 @@ def louvain(graph: Graph, directed: bool = False, threshold: float = 1e-4, max_r
     """(id, cluster): one level of modularity moves over the 0/1 adjacency. Clusters are numbered from 1 by their least position.
 
     It moves in rounds over the whole cluster, the same at every size. In a round every vertex works out what the best neighbouring community would
-    gain, from sums per community; of those that would gain, half, by hash of vertex and round, move. Of two communities of one vertex,
+    gain, from sums per community; of those that would gain, half, by hash, move, and the other half may in the next round. Of two communities of one vertex,
     only the later joins the earlier, so they don't swap. It ends when no vertex would gain, or when ``SETTLED`` rounds together raise the quality by less
     than ``threshold``; the partition of highest quality is the result. With ``inertial_weight`` the likeness of properties counts as well.
     """
@@ -182,7 +182,7 @@ def _settle_moves(near: DataFrame, nodes: DataFrame, state: DataFrame, m2: float
         scored = scored.select("id", "root", home.alias("home"), F.when(stays, F.col("n")).alias("inside"), F.when(fine, F.struct(gain.alias("gain"), (-F.col("to")).alias("low"))).alias("move"))
         pick = scored.groupBy("id", "root").agg(F.first("home").alias("home"), F.max("inside").alias("inside"), F.max("move").alias("move"))
         wants = F.coalesce(F.col("move.gain") > F.col("home") + F.coalesce("inside", F.lit(0)) + 1e-9, F.lit(False))
-        turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 1
+        turn = F.pmod(F.xxhash64("id", F.lit(r // 2)), F.lit(2)) == r % 2
         table = stage(pick.select("id", "root", F.coalesce("inside", F.lit(0)).alias("inside"), wants.alias("wants"), F.when(wants & turn, -F.col("move.low")).otherwise(F.col("root")).alias("to")), "moves-picked")
         found = table.agg(F.sum("inside").alias("inside"), F.sum(F.col("wants").cast("int")).alias("wants")).first()
         squares = sums.agg(F.sum(F.col("total") * F.col("total"))).first()[0]
