@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphlake.graph import Graph, cost
 from graphlake.plans.iterate import grow
+from graphlake.plans.numbering import dense_index
 from graphlake.plans.staging import discard, stage
 
 
@@ -117,13 +118,31 @@ def simple_paths(graph: Graph, start, end, directed: bool = False, max_hops: int
     return grow(longer, first, max_hops, "path-ways").where(F.col("last") == end).select("path")
 
 
+#: A row of ``all_pairs_hops`` holds a set of 64 * WORDS sources.
+WORDS = 16
+
+
 def all_pairs_hops(graph: Graph, directed: bool = False, max_hops: int | None = None) -> DataFrame:
-    """(src, dst, dist): hop counts of all pairs that reach each other, 0 to itself. Weights don't count."""
+    """(src, dst, dist): hop counts of all pairs that reach each other, 0 to itself. Weights don't count.
+
+    Sources walk together: a row (dst, block) has a bit for each source of the block that reaches dst in a round, so a round's join
+    makes a row for each edge and block, not for each edge and source. Sources with their least head in common share blocks.
+    """
     arcs = stage(graph.arcs(directed).where("src <> dst").select(F.col("src").alias("mid"), "dst").distinct(), "hops-arcs")
-    first = graph.vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("dist"))
+    near = arcs.groupBy(F.col("mid").alias("id")).agg(F.min("dst").alias("near"))
+    sources = stage(dense_index(graph.vertices.select("id").distinct().join(near, "id", "left"), ["near", "id"], "place").select("id", "place"), "hops-sources")
+    words = [f"w{k}" for k in range(WORDS)]
+    bit = F.call_function("shiftleft", F.expr("1L"), (F.col("place") % 64).cast("int"))
+    word = F.shiftright("place", 6)
+    first = sources.select(F.col("id").alias("dst"), F.floor(word / WORDS).alias("block"), *[F.when(word % WORDS == k, bit).otherwise(F.lit(0).cast("long")).alias(w) for k, w in enumerate(words)], F.lit(0).alias("dist"))
 
     def level(frontier: DataFrame, seen: DataFrame, i: int) -> DataFrame:
-        met = frontier.select("src", F.col("dst").alias("mid")).join(arcs, "mid").select("src", "dst").distinct()
-        return met.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("dist", F.lit(i))
-
-    return grow(level, first, max_hops, "hops")
+        met = frontier.select(F.col("dst").alias("mid"), "block", *words).join(arcs, "mid").groupBy("dst", "block").agg(*[F.bit_or(w).alias(w) for w in words])
+        known = seen.groupBy("dst", "block").agg(*[F.bit_or(w).alias(f"{w}_seen") for w in words])
+        fresh = met.join(known, ["dst", "block"], "left").select("dst", "block", *[F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"{w}_seen", F.lit(0).cast("long")))).alias(w) for w in words])
+        return fresh.where(" or ".join(f"{w} <> 0" for w in words)).withColumn("dist", F.lit(i))
+
+    found = grow(level, first, max_hops, "hops")
+    sets = found.select("dst", "dist", "block", F.posexplode(F.array(*words)).alias("k", "bits")).where("bits <> 0").select((F.col("block") * WORDS + F.col("k")).alias("word"), "dst", "dist", "bits")
+    names = sources.groupBy(word.alias("word")).agg(F.sort_array(F.collect_list(F.struct("place", "id")))["id"].alias("ids"))  # up to 64 each
+    return sets.join(names, "word").select(F.explode(F.filter("ids", lambda x, at: F.getbit("bits", at) == 1)).alias("src"), "dst", "dist")
