@@ -1,17 +1,18 @@
-"""Language-model scores by Katz back-off over bigrams.
+"""Language-model scores by Katz back-off over trigrams (or, with order 2, bigrams).
 
-p(w | h) = d_r * r / (c(h) + 1) for a bigram seen r times in training, where d_r is the Good-Turing discount (r <= 5; 1 beyond), and
-otherwise alpha(h) * p(w), with alpha(h) the mass that the discounts leave, one pseudo-count included, over the probability of all
-words not seen after h: every history sums to 1 exactly. The recursion ends at p(w) = (c(w) + 1) / (N + V + 1), of which one share is
-that of all unknown words. A history that training lacks backs off with weight 1. A text is its words and an end token; the
-first word's history is a start token.
+p(w | u v) = d_r * r / (c(u v) + 1) for a trigram seen r times in training, where d_r is the Good-Turing discount of its order (r <= 5; 1
+beyond), and otherwise alpha(u v) * p(w | v), with alpha the mass that the discounts leave, one pseudo-count included, over the
+probability, by the next lower order, of all words not seen after u v: every history sums to 1 exactly. p(w | v) is made in the same way of bigrams and
+p(w), and the recursion ends at p(w) = (c(w) + 1) / (N + V + 1), of which one share is that of all unknown words. A history that
+training lacks backs off with weight 1. A text is its words and an end token; the first word's history is a start token alone.
 
 Execution: the most frequent words in training (at most 2**19 of them, so their table is broadcast) are told by
-rank, all others by hash. An occurrence (history, word, document) is shuffled once to the partition of its history,
+rank, all others by hash. An occurrence (word before the last, last word, word, document) is shuffled once to the partition of the last word before it,
 packed by blocks of text; one whose word is rare goes by the partition of the word first, where its count is looked
-up. A partition then is the n-gram table of its histories: counts of counts are summed over all partitions, and the same exchange
+up. A partition then has the bigrams after its words and the trigrams over them: counts of counts are summed over all partitions, and the same exchange
 is read again to score, so what is shuffled and held grows in proportion to the input and nothing but the frequent words is
-broadcast. A history with more occurrences than ``GROUP`` is split by word, with its back-off mass summed over the splits.
+broadcast. A word with more occurrences than ``GROUP`` is split by the word before it (the start token: by the word after it), so that the trigrams of a history
+stay together; its bigrams, counted per split, are summed by (word, next word), and their probabilities go back to the splits.
 
 Blocks of documents have a number made of their rows, by which the shares that partitions return, packed as well, meet the documents again; a block that
 gets none (an input that isn't the same when read twice) is an error.
@@ -33,14 +34,16 @@ from graphlake.llm.text import row_key
 from graphlake.plans.staging import stage
 
 FREQUENT_BITS = 19
-GROUP = 1_000_000  # occurrences in a partition, about
+GROUP = 750_000  # occurrences in a partition, about
 K_MAX = 5  # counts above are not discounted
 START = 1 << FREQUENT_BITS
 RARE = np.uint64(1 << 63)
 END = np.uint64(0x5851F42D4C957F2D)
 
 #: Kinds of what is packed. An occurrence's document is its row in its block, with the highest bit for one held out.
-OCCURRENCE = ("<u8", "<u8", "<u4", "<u2", "<u2")  # history, word, the word's count if it is rare, document, place of its block in the row's list
+OCCURRENCE = ("<u8", "<u8", "<u8", "<u4", "<u2", "<u2")  # last word, word, word before the last, the word's count if it is rare, document, place of its block in the row's list
+PARTIAL = ("<u8", "<u4", "<i8")  # word, its count if it is rare, times in training after a split word
+GIVEN = ("<u8", "<f8")  # word, probability after a split word
 SHARE = ("<u2", "<f8")  # document, score
 BASE_SHARE = ("<u2", "<f8", "<u2")  # document, base score, known words
 HELD = 1 << 15
@@ -71,7 +74,8 @@ def unpack(kinds: tuple, data: pa.Buffer, n: int) -> list[np.ndarray]:
 class Vocabulary:
     """Frequent words by rank, with their counts; totals of the training set; the splits of hot histories."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, types: int, texts: int):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, types: int, texts: int, order: int):
+        self.order = order
         by = np.lexsort((words, -counts))
         self.counts = np.append(counts[by], texts).astype(np.int64)  # START comes last
         rank = np.empty(len(words), np.int64)
@@ -98,12 +102,21 @@ class Vocabulary:
         known = (codes & RARE) == 0
         return np.where(known, self.counts[self.index(np.where(known, codes, np.uint64(START)))], rare)
 
-    def buckets(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    def buckets(self, h: np.ndarray, w: np.ndarray, u: np.ndarray) -> np.ndarray:
         known = (h & RARE) == 0
         at = self.index(np.where(known, h, np.uint64(START)))
         hot = known & (self.splits[at] > 0)
         plain = (K.mix(h) % np.uint64(self.groups)).astype(np.int64)
-        return np.where(hot, self.first[at] + (K.mix(w) % np.maximum(self.splits[at], 1).astype(np.uint64)).astype(np.int64), plain)
+        by = np.where((h == START) | (self.order == 2), w, u)
+        return np.where(hot, self.first[at] + (K.mix(by) % np.maximum(self.splits[at], 1).astype(np.uint64)).astype(np.int64), plain)
+
+    def owner(self, bucket: int) -> int | None:
+        """Place in ``counts`` of the word that a bucket has one of several splits of."""
+        if bucket < self.groups:
+            return None
+        hot = np.flatnonzero(self.splits)
+        own = int(hot[np.searchsorted(self.first[hot], bucket, "right") - 1])
+        return own if self.splits[own] > 1 else None
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 1.0) / (self.tokens + self.types + 1.0)
@@ -158,14 +171,14 @@ def _least_frequent(table: DataFrame, most: int) -> int:
     return least
 
 
-def fit_vocabulary(train: DataFrame) -> tuple[DataFrame, Vocabulary]:
+def fit_vocabulary(train: DataFrame, order: int = 2) -> tuple[DataFrame, Vocabulary]:
     """The staged table (word, n) of all training words, and the frequent ones with the totals."""
     table = stage(train.select("text").mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "katz-words")
     end = int(END.astype(np.int64))
     totals = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("types"), F.coalesce(F.max(F.when(F.col("word") == end, F.col("n"))), F.lit(0)).alias("texts")).first()
     least = _least_frequent(table, 1 << FREQUENT_BITS)
     frequent = table.where(F.col("n") >= least).toArrow()  # at most 2**FREQUENT_BITS rows
-    v = Vocabulary(frequent.column("word").to_numpy().astype(np.int64).view(np.uint64), frequent.column("n").to_numpy().astype(np.int64), totals["tokens"], totals["types"], totals["texts"])
+    v = Vocabulary(frequent.column("word").to_numpy().astype(np.int64).view(np.uint64), frequent.column("n").to_numpy().astype(np.int64), totals["tokens"], totals["types"], totals["texts"], order)
     return table.where(F.col("n") < least), v
 
 
@@ -175,17 +188,17 @@ SHARES = "block long, kind int, n int, data binary"
 _SHARES = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
 
 
-def _by_bucket(blocks: np.ndarray, bucket, h, w, c, d, b) -> pa.RecordBatch:
+def _by_bucket(blocks: np.ndarray, bucket, h, w, u, c, d, b) -> pa.RecordBatch:
     """Packed rows (bucket, blocks, n, data) of occurrences; ``b`` is the place of an occurrence's block in ``blocks``."""
     out: dict = {"bucket": [], "blocks": [], "n": [], "data": []}
     order = np.lexsort((w, h, bucket))
-    bucket, h, w, c, d, b = (x[order] for x in (bucket, h, w, c, d, b))
+    bucket, h, w, u, c, d, b = (x[order] for x in (bucket, h, w, u, c, d, b))
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, np.int64)
     for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         for at in range(lo, hi, 1 << 16):  # a row's list of blocks has 16-bit places
             to = min(hi, at + (1 << 16))
             held, own = np.unique(b[at:to], return_inverse=True)
-            for k, x in (("bucket", int(bucket[at])), ("blocks", blocks[held].tolist()), ("n", to - at), ("data", pack(OCCURRENCE, h[at:to], w[at:to], c[at:to], d[at:to], own))):
+            for k, x in (("bucket", int(bucket[at])), ("blocks", blocks[held].tolist()), ("n", to - at), ("data", pack(OCCURRENCE, h[at:to], w[at:to], u[at:to], c[at:to], d[at:to], own))):
                 out[k].append(x)
     return pa.RecordBatch.from_pydict(out, _PACKED)
 
@@ -217,10 +230,15 @@ def _occurrences(vocabulary, rare: bool, word_groups: int):
                 w = v.codes(hashes)
                 h = np.concatenate([[np.uint64(START)], w[:-1]])
                 h[first[:-1]] = START
+                if v.order == 3:
+                    u = np.concatenate([[np.uint64(START)], h[:-1]])
+                    u[first[:-1]] = START
+                else:
+                    u = np.zeros(len(h), np.uint64)
                 mine = ((w & RARE) != 0) == rare
-                h, w, row = h[mine], w[mine], row[mine]
-                bucket = (K.mix(w) % np.uint64(word_groups)).astype(np.int64) if rare else v.buckets(h, w)
-                parts.append((bucket, h, w, np.zeros(len(h), np.uint32), (row + HELD * held[lo:hi][row]).astype(np.uint16), np.full(len(h), len(numbers), np.int32)))
+                h, w, u, row = h[mine], w[mine], u[mine], row[mine]
+                bucket = (K.mix(w) % np.uint64(word_groups)).astype(np.int64) if rare else v.buckets(h, w, u)
+                parts.append((bucket, h, w, u, np.zeros(len(h), np.uint32), (row + HELD * held[lo:hi][row]).astype(np.uint16), np.full(len(h), len(numbers), np.int32)))
                 numbers.append(number)
                 if sum(len(p[0]) for p in parts) > FLUSH:
                     yield packed()
@@ -253,8 +271,8 @@ def _gather(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
     lists = [np.array(x, np.int64) for x in table.column("blocks").to_pylist()]
     blocks = np.unique(np.concatenate(lists)) if lists else np.empty(0, np.int64)
     parts = [unpack(OCCURRENCE, data.as_buffer(), n) for data, n in zip(table.column("data"), table.column("n").to_pylist(), strict=True)]
-    out = {k: np.concatenate([p[i] for p in parts]) if parts else np.empty(0, t) for i, (k, t) in enumerate(zip("hwc", OCCURRENCE[:3], strict=True))}
-    out["d"] = np.concatenate([p[3].astype(np.int64) + (np.searchsorted(blocks, x)[p[4]] << 16) for p, x in zip(parts, lists, strict=True)]) if parts else np.empty(0, np.int64)
+    out = {k: np.concatenate([p[i] for p in parts]) if parts else np.empty(0, t) for i, (k, t) in enumerate(zip("hwuc", OCCURRENCE[:4], strict=True))}
+    out["d"] = np.concatenate([p[4].astype(np.int64) + (np.searchsorted(blocks, x)[p[5]] << 16) for p, x in zip(parts, lists, strict=True)]) if parts else np.empty(0, np.int64)
     return out, blocks
 
 
@@ -288,7 +306,7 @@ def _look_up(vocabulary, base: bool):
             c = np.zeros(len(o["w"]), np.int64)
         if base:
             return _to_blocks(o["d"], blocks, 1, BASE_SHARE, np.log10(v.unigram(c)), (c > 0).astype(float))
-        batch = _by_bucket(blocks, v.buckets(o["h"], o["w"]), o["h"], o["w"], c, o["d"] & 0xFFFF, o["d"] >> 16)
+        batch = _by_bucket(blocks, v.buckets(o["h"], o["w"], o["u"]), o["h"], o["w"], o["u"], c, o["d"] & 0xFFFF, o["d"] >> 16)
         return pa.Table.from_batches([batch], _PACKED)
 
     return work
@@ -299,7 +317,7 @@ class Grams:
 
     def __init__(self, o: dict[str, np.ndarray], v: Vocabulary):
         n = len(o["h"])
-        order = np.lexsort((o["w"], o["h"]))
+        self.order = order = np.lexsort((o["w"], o["h"]))
         h, w = o["h"][order], o["w"][order]
         new_h = np.concatenate([[True], h[1:] != h[:-1]]) if n else np.empty(0, bool)
         new = new_h | np.concatenate([[True], w[1:] != w[:-1]]) if n else new_h
@@ -311,31 +329,121 @@ class Grams:
         head = np.flatnonzero(new)
         self.history = (np.cumsum(new_h) - 1)[head] if n else gram  # of each bigram
         self.codes = h[np.flatnonzero(new_h)]
-        self.word_count = v.count(w[head], o["c"][order][head].astype(np.int64))
-        own = np.bincount(self.history, self.times, len(self.codes))
-        self.total = v.count(self.codes, own.astype(np.int64))  # c(h)
-        self.p = v.unigram(self.word_count)
-        seen = self.times > 0
-        self.mass = np.bincount(self.history, self.p * seen, len(self.codes))  # probability of the words seen after h
-        self.low = np.stack([np.bincount(self.history, self.times == r, len(self.codes)) for r in range(1, K_MAX + 1)]) if len(self.codes) else np.zeros((K_MAX, 0))
+        self.words, self.rare = w[head], o["c"][order][head]
+        self.p = v.unigram(v.count(self.words, self.rare.astype(np.int64)))
+        self.total = v.count(self.codes, np.bincount(self.history, self.times, len(self.codes)).astype(np.int64))  # c(h)
+
+
+def _probabilities(times, history, total, lower, d) -> np.ndarray:
+    """Katz probabilities of distinct n-grams from their counts, their histories (by place in ``total``) and the next lower order's probabilities."""
+    n, seen = len(total), times > 0
+    kept = np.where(times <= K_MAX, d[np.minimum(np.maximum(times, 1), K_MAX) - 1], 1.0)
+    left_over = 1 + np.bincount(history, (1 - kept) * times, n)
+    alpha = np.where(total > 0, left_over / ((total + 1.0) * np.maximum(1 - np.bincount(history, lower * seen, n), 1e-300)), 1.0)
+    return np.where(seen, kept * times / (total[history] + 1.0), alpha[history] * lower)
+
+
+def _trigrams(o: dict[str, np.ndarray], g: Grams) -> tuple[np.ndarray, ...]:
+    """(occurrences, trigram of each, r of each trigram, its history, its bigram); the first words of texts have no trigram."""
+    by = g.order[o["h"][g.order] != START]
+    x = K.mix(K.mix(o["u"][by] + np.uint64(1)) + o["h"][by])  # a history
+    by, x = by[at := np.argsort(x, kind="stable")], x[at]  # by history, then bigram
+    gram = g.gram[by]
+    n = len(by)
+    new_x = np.concatenate([[True], x[1:] != x[:-1]]) if n else np.empty(0, bool)
+    new = new_x | np.concatenate([[True], gram[1:] != gram[:-1]]) if n else new_x
+    own = np.cumsum(new) - 1
+    times = np.bincount(own, (o["d"][by] & HELD) == 0, own[-1] + 1 if n else 0).astype(np.int64)
+    head = np.flatnonzero(new)
+    return by, own, times, (np.cumsum(new_x) - 1)[head] if n else own, gram[head]
 
 
-STATS = "owner long, " + ", ".join(f"n{r} long" for r in range(1, K_MAX + 2)) + ", mass double"
+def _counts_of_counts(times: np.ndarray) -> list[int]:
+    return np.bincount(np.minimum(times, K_MAX + 2), minlength=K_MAX + 3)[1 : K_MAX + 2].tolist()
+
+
+RANGE = range(1, K_MAX + 2)
+STATS = "owner long, " + ", ".join(f"{k}{r} long" for k in "nt" for r in RANGE) + ", mass double"  # n: of bigrams, t: of trigrams
+
+
+def _stats_table(rows: list[list]) -> pa.Table:
+    names = [x.split()[0] for x in STATS.split(", ")]
+    return pa.table({k: pa.array([r[i] for r in rows], pa.float64() if k == "mass" else pa.int64()) for i, k in enumerate(names)})
 
 
 def _statistics(vocabulary):
-    """Counts of counts of a group (owner -1), and the sums of a hot history (owner: its place)."""
+    """Counts of counts of a group (owner -1); of a split word's bigrams ``_split_sums`` has them."""
+
+    def work(table: pa.Table) -> pa.Table:
+        v = K.opened(vocabulary)
+        o, _ = _gather(table)
+        g = Grams(o, v)
+        none = [0] * len(RANGE)
+        bigrams = none if v.owner(table.column("bucket")[0].as_py()) is not None else _counts_of_counts(g.times)
+        return _stats_table([[-1, *bigrams, *(_counts_of_counts(_trigrams(o, g)[2]) if v.order == 3 else none), 0.0]])
+
+    return work
+
+
+PARTIALS = "owner long, part long, bucket long, n int, data binary"
+_PARTIALS = pa.schema([("owner", pa.int64()), ("part", pa.int64()), ("bucket", pa.int64()), ("n", pa.int32()), ("data", pa.binary())])
+
+
+def _split_bigrams(vocabulary):
+    """Packed bigrams of a split of a word, with their counts there, by parts of the words after it."""
 
     def work(table: pa.Table) -> pa.Table:
         v = K.opened(vocabulary)
         bucket = table.column("bucket")[0].as_py()
+        owner = v.owner(bucket)
+        if owner is None:
+            return _PARTIALS.empty_table()
         g = Grams(_gather(table)[0], v)
-        rows = [[-1, *[int(np.count_nonzero(g.times == r)) for r in range(1, K_MAX + 2)], 0.0]]
-        if bucket >= v.groups:
-            rows.append([int(v.index(g.codes[:1])[0]), *[int(x) for x in g.low[:, 0]], 0, float(g.mass[0])])
-        names = [x.split()[0] for x in STATS.split(", ")]
-        kinds = [pa.int64()] * (K_MAX + 2) + [pa.float64()]
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+        part = K.mix(g.words) % np.uint64(v.splits[owner])
+        rows = [(owner, int(k), bucket, int(np.count_nonzero(mine := part == k)), pack(PARTIAL, g.words[mine], g.rare[mine], g.times[mine])) for k in np.unique(part)]
+        return pa.Table.from_pylist([dict(zip(_PARTIALS.names, r, strict=True)) for r in rows], _PARTIALS)
+
+    return work
+
+
+def _split_part(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """(words, rare counts, times, each split's words) of a part of a split word's bigrams."""
+    lists = [unpack(PARTIAL, data.as_buffer(), n) for data, n in zip(table.column("data"), table.column("n").to_pylist(), strict=True)]
+    words, head, own = np.unique(np.concatenate([x[0] for x in lists]), return_index=True, return_inverse=True)
+    times = np.bincount(own, np.concatenate([x[2] for x in lists]), len(words)).astype(np.int64)
+    return words, np.concatenate([x[1] for x in lists])[head].astype(np.int64), times, [x[0] for x in lists]
+
+
+def _split_sums(vocabulary):
+    def work(table: pa.Table) -> pa.Table:
+        v = K.opened(vocabulary)
+        words, rare, times, _ = _split_part(table)
+        return _stats_table([[table.column("owner")[0].as_py(), *_counts_of_counts(times), *[0] * len(RANGE), float(v.unigram(v.count(words, rare))[times > 0].sum())]])
+
+    return work
+
+
+RULES = "bucket long, " + ", ".join(f"{k}{r} long" for k in "nt" for r in RANGE) + ", n int, data binary"
+_RULES = pa.schema([("bucket", pa.int64()), *[(f"{k}{r}", pa.int64()) for k in "nt" for r in RANGE], ("n", pa.int32()), ("data", pa.binary())])
+
+
+def _split_given(vocabulary):
+    """The probabilities of a part of a split word's bigrams, for each of its splits."""
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _RULES.empty_table()
+        v = K.opened(vocabulary)
+        words, rare, times, lists = _split_part(left)
+        rule = right.to_pylist()[0]
+        d = discounts([rule[f"all{r}"] for r in RANGE])
+        total = v.counts[left.column("owner")[0].as_py()]
+        left_over = 1 + sum((1 - d[r - 1]) * r * rule[f"n{r}"] for r in range(1, K_MAX + 1))
+        alpha = left_over / ((total + 1.0) * max(1 - rule["mass"], 1e-300)) if total > 0 else 1.0
+        kept = np.where(times <= K_MAX, d[np.minimum(np.maximum(times, 1), K_MAX) - 1], 1.0)
+        p = np.where(times > 0, kept * times / (total + 1.0), alpha * v.unigram(v.count(words, rare)))
+        rows = [{"bucket": b, "n": len(w), "data": pack(GIVEN, w, p[np.searchsorted(words, w)])} for b, w in zip(left.column("bucket").to_pylist(), lists, strict=True)]
+        return pa.Table.from_pylist(rows, _RULES)
 
     return work
 
@@ -364,17 +472,22 @@ def _scores(vocabulary):
         if not len(o["h"]):
             return _SHARES.empty_table()
         g = Grams(o, v)
-        rule = right.to_pylist()[0]
-        d = discounts([rule[f"all{r}"] or 0 for r in range(1, K_MAX + 2)])
-        low, mass = g.low, g.mass
-        if left.column("bucket")[0].as_py() >= v.groups:  # one hot history, of which this is a part
-            low, mass = np.array([[rule[f"n{r}"] or 0] for r in range(1, K_MAX + 1)], float), np.array([rule["mass"] or 0.0])
-        left_over = 1 + ((1 - d) * np.arange(1, K_MAX + 1)) @ low
-        alpha = np.where(g.total > 0, left_over / ((g.total + 1.0) * np.maximum(1 - mass, 1e-300)), 1.0)
-        r = g.times
-        kept = np.where(r <= K_MAX, d[np.minimum(np.maximum(r, 1), K_MAX) - 1], 1.0)
-        p = np.where(r > 0, kept * r / (g.total[g.history] + 1.0), alpha[g.history] * g.p)
-        return _to_blocks(o["d"], blocks, 0, SHARE, np.log10(p)[g.gram])
+        rows = right.to_pylist()
+        rule = next(x for x in rows if x["data"] is None)
+        if v.owner(left.column("bucket")[0].as_py()) is None:
+            p = _probabilities(g.times, g.history, g.total, g.p, discounts([rule[f"n{r}"] or 0 for r in RANGE]))
+        else:
+            given = [unpack(GIVEN, pa.py_buffer(x["data"]), x["n"]) for x in rows if x["data"] is not None]
+            words, p = (np.concatenate(x) for x in zip(*given, strict=True))
+            words, p = words[at := np.argsort(words)], p[at]
+            if not np.array_equal(words, g.words):
+                raise ValueError("a split without its bigrams: the input was not read twice alike")
+        out = np.log10(p)[g.gram]
+        if v.order == 3:
+            by, own, times, history, gram = _trigrams(o, g)
+            total = np.bincount(history, times, history[-1] + 1 if len(history) else 0).astype(np.int64)
+            out[by] = np.log10(_probabilities(times, history, total, p[gram], discounts([rule[f"t{r}"] or 0 for r in RANGE])))[own]
+        return _to_blocks(o["d"], blocks, 0, SHARE, out)
 
     return work
 
@@ -408,12 +521,14 @@ def _totals(left: pa.Table, right: pa.Table) -> pa.Table:
     )
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score. Learns from rows not held out."""
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
+    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score. Learns from rows not held out; ``order`` is 2 or 3."""
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.xxhash64(F.col(id_col), row_key(text)).alias("rid"), text.alias("text"))
-    rare_words, v = fit_vocabulary(rows.where("not held"))
+    rare_words, v = fit_vocabulary(rows.where("not held"), order)
     vocabulary = K.share(spark.sparkContext, v)
     word_groups = max(1, v.groups // 8)  # rare words are a small part
     frequent = rows.mapInArrow(_occurrences(vocabulary, False, word_groups), PACKED)
@@ -421,12 +536,22 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     # a table's words fall into the same groups as the codes of their occurrences
     mine = rare_words.mapInArrow(_word_groups(word_groups), "bucket long, word long, n long").groupBy("bucket")
     every = frequent.unionByName(rare.cogroup(mine).applyInArrow(_look_up(vocabulary, False), PACKED))
-    stats = every.groupBy("bucket").applyInArrow(_statistics(vocabulary), STATS).groupBy("owner").agg(*[F.sum(f"n{r}").alias(f"n{r}") for r in range(1, K_MAX + 2)], F.sum("mass").alias("mass"))
-    total = stats.where("owner = -1").select(*[F.col(f"n{r}").alias(f"all{r}") for r in range(1, K_MAX + 2)])
-    hot = spark.createDataFrame([(int(v.first[i]), int(v.splits[i]), int(i)) for i in np.flatnonzero(v.splits).tolist()], "first long, splits long, of long")  # a row for each hot word
-    parts = hot.select(F.explode(F.sequence("first", F.col("first") + F.col("splits") - 1)).alias("bucket"), "of")
-    groups = spark.range(v.groups).select(F.col("id").alias("bucket"), F.lit(-2).cast("long").alias("of")).unionByName(parts)
-    rules = groups.join(F.broadcast(total)).join(stats.select("owner", *[f"n{r}" for r in range(1, K_MAX + 1)], "mass"), F.col("of") == F.col("owner"), "left").drop("of", "owner")
+    stats = every.groupBy("bucket").applyInArrow(_statistics(vocabulary), STATS)
+    hot = spark.createDataFrame([(int(v.first[i]), int(v.splits[i]), int(i)) for i in np.flatnonzero(v.splits).tolist()], "first long, splits long, owner long")  # a row for each hot word
+    split = bool((v.splits > 1).any())
+    if split:
+        partials = every.groupBy("bucket").applyInArrow(_split_bigrams(vocabulary), PARTIALS)
+        sums = partials.groupBy("owner", "part").applyInArrow(_split_sums(vocabulary), STATS)
+        stats = stats.unionByName(sums)
+    total = stats.agg(*[F.sum(f"{k}{r}").alias(f"{k}{r}") for k in "nt" for r in RANGE])
+    parts = hot.select(F.explode(F.sequence("first", F.col("first") + F.col("splits") - 1)).alias("bucket"))
+    groups = spark.range(v.groups).select(F.col("id").alias("bucket")).unionByName(parts)
+    rules = groups.join(F.broadcast(total)).withColumns({"n": F.lit(None).cast("int"), "data": F.lit(None).cast("binary")})
+    if split:
+        own = sums.groupBy("owner").agg(*[F.sum(f"n{r}").alias(f"n{r}") for r in RANGE], F.sum("mass").alias("mass"))
+        every_part = hot.select("owner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)).alias("part")).join(own, "owner")
+        asked = every_part.join(F.broadcast(total.select(*[F.col(f"n{r}").alias(f"all{r}") for r in RANGE])))
+        rules = rules.unionByName(partials.groupBy("owner", "part").cogroup(asked.groupBy("owner", "part")).applyInArrow(_split_given(vocabulary), RULES))
     shares = every.groupBy("bucket").cogroup(rules.groupBy("bucket")).applyInArrow(_scores(vocabulary), SHARES)
     shares = shares.unionByName(rare.cogroup(mine).applyInArrow(_look_up(vocabulary, True), SHARES))
     kind = rows.schema["id"].dataType.simpleString()

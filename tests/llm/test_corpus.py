@@ -1,5 +1,6 @@
 """The corpus operators against brute force, on small tables with the awkward cases."""
 
+import functools
 import hashlib
 import math
 import random
@@ -374,6 +375,49 @@ def test_katz(spark, docs):
     assert katz.score(empty(spark), held).count() == 0
 
 
+def test_katz_recursion(spark, docs, monkeypatch):
+    """Order 3 backs off to order 2, and that to single words; split words give the same."""
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    tokens = {r.doc_id: WORD.findall(low(r.text)) + ["</s>"] for r in unique.collect()}
+    grams = lambda t: [(*(["<s>", *t][max(0, i - 1) : i + 1]), t[i]) for i in range(len(t))]
+    times = Counter()
+    for i, t in tokens.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            times.update(g[k:] for g in grams(t) for k in range(len(g)))
+    count = {k: Counter(c for g, c in times.items() if len(g) == k) for k in (1, 2, 3)}
+    n, v = sum(c for g, c in times.items() if len(g) == 1), sum(len(g) == 1 for g in times)
+    d = {k: katz.discounts([count[k][r] for r in range(1, 7)]) for k in (2, 3)}
+    after = defaultdict(dict)
+    for g, c in times.items():
+        after[g[:-1]][g[-1]] = c
+
+    @functools.cache
+    def alpha(h):
+        seen, k = after[h], len(h) + 1
+        kept = sum((d[k][c - 1] if c <= 5 else 1) * c for c in seen.values()) / (sum(seen.values()) + 1)
+        return (1 - kept) / (1 - sum(p((*h[1:], w)) for w in seen))
+
+    @functools.cache
+    def p(g):
+        h, c = g[:-1], times.get(g, 0)
+        if not h:
+            return (c + 1) / (n + v + 1)
+        if c:
+            return (d[len(g)][c - 1] if c <= 5 else 1) * c / (sum(after[h].values()) + 1)
+        return (alpha(h) if h in after else 1) * p(g[1:])
+
+    some = [h for h in after if len(h) == 2][::997]
+    assert some and all(abs(sum(p((*h, w[0])) for w in times if len(w) == 1) + p((*h, "\0")) - 1) < 1e-8 for h in some)
+    for bits, group in ((19, 1_000_000), (4, 300)):
+        monkeypatch.setattr(katz, "FREQUENT_BITS", bits)
+        monkeypatch.setattr(katz, "GROUP", group)
+        for r in katz.score(unique, held, order=3).collect():
+            assert abs(r.score - sum(math.log10(p(g)) for g in grams(tokens[r.id]))) < 1e-6 * len(tokens[r.id])
+    with pytest.raises(ValueError):
+        katz.score(unique, held, order=4)
+
+
 PATTERNS = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
