@@ -81,7 +81,8 @@ class Vocabulary:
         rank = np.empty(len(words), np.int64)
         rank[by] = np.arange(len(words))
         order = np.argsort(words)
-        self.words, self.rank = words[order], rank[order]
+        self.words, self.rank = words[order], rank[order].astype(np.uint64)
+        self.slots: np.ndarray | None = None
         self.tokens, self.types = tokens, types
         self.groups = max(1, -(-tokens // GROUP))
         splits = -(-self.counts // GROUP)
@@ -91,8 +92,16 @@ class Vocabulary:
     def codes(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.words):
             return hashes | RARE
-        ix = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[ix] == hashes, self.rank[ix].astype(np.uint64), hashes | RARE)
+        bits = len(self.words).bit_length()
+        shift, last = np.uint64(64 - bits), len(self.words) - 1
+        if self.slots is None:  # the first word of each range of hashes, which has one on average at most
+            self.slots = np.minimum(np.searchsorted(self.words, np.arange(1 << bits, dtype=np.uint64) << shift), last).astype(np.int32)
+        ix = self.slots[hashes >> shift]
+        behind = np.flatnonzero(self.words[ix] < hashes)
+        while len(behind := behind[ix[behind] < last]):
+            ix[behind] += 1
+            behind = behind[self.words[ix[behind]] < hashes[behind]]
+        return np.where(self.words[ix] == hashes, self.rank[ix], hashes | RARE)
 
     def index(self, codes: np.ndarray) -> np.ndarray:
         """Place in ``counts`` of codes that are not rare."""
@@ -188,10 +197,15 @@ SHARES = "block long, kind int, n int, data binary"
 _SHARES = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
 
 
+def _near(codes: np.ndarray) -> np.ndarray:
+    """20 bits that put equal codes together: ranks as they are, of rare codes the highest bits."""
+    return np.where(codes & RARE, np.uint64(START) | (codes & ~RARE) >> np.uint64(44), codes)
+
+
 def _by_bucket(blocks: np.ndarray, bucket, h, w, u, c, d, b) -> pa.RecordBatch:
     """Packed rows (bucket, blocks, n, data) of occurrences; ``b`` is the place of an occurrence's block in ``blocks``."""
     out: dict = {"bucket": [], "blocks": [], "n": [], "data": []}
-    order = np.lexsort((w, h, bucket))
+    order = np.argsort(bucket.astype(np.uint64) << np.uint64(40) | _near(h) << np.uint64(20) | _near(w))  # one key sorts far faster than three
     bucket, h, w, u, c, d, b = (x[order] for x in (bucket, h, w, u, c, d, b))
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, np.int64)
     for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
@@ -312,12 +326,19 @@ def _look_up(vocabulary, base: bool):
     return work
 
 
+def _dense(codes: np.ndarray) -> np.ndarray:
+    """The codes in the same order as numbers below 2**32: ranks as they are, the rare ones by their place among a group's."""
+    out, rare = codes.copy(), np.flatnonzero(codes & RARE)
+    out[rare] = np.uint64(START + 1) + np.unique(codes[rare], return_inverse=True)[1].astype(np.uint64)
+    return out
+
+
 class Grams:
     """The bigram table of a group: distinct (history, word), their counts in training, and sums by history."""
 
     def __init__(self, o: dict[str, np.ndarray], v: Vocabulary):
         n = len(o["h"])
-        self.order = order = np.lexsort((o["w"], o["h"]))
+        self.order = order = np.argsort(_dense(o["h"]) << np.uint64(32) | _dense(o["w"]))
         h, w = o["h"][order], o["w"][order]
         new_h = np.concatenate([[True], h[1:] != h[:-1]]) if n else np.empty(0, bool)
         new = new_h | np.concatenate([[True], w[1:] != w[:-1]]) if n else new_h

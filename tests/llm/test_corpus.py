@@ -6,6 +6,8 @@ import math
 import random
 import re
 import tempfile
+import time
+import timeit
 import zlib
 from collections import Counter, defaultdict
 
@@ -375,6 +377,27 @@ def test_katz(spark, docs):
     assert katz.score(empty(spark), held).count() == 0
 
 
+def test_katz_look_up():
+    """Codes of words and groups of bigrams: the same as by plain search and sort, at less cost than the plain ones alone."""
+    draw = np.random.default_rng(3)
+    least = lambda f: min(timeit.repeat(f, timer=time.process_time, number=1, repeat=5))
+    words = np.unique(draw.integers(0, 1 << 64, 1 << katz.FREQUENT_BITS, dtype=np.uint64))
+    hashes = draw.choice(np.append(words[::2], draw.integers(0, 1 << 64, 100_000, dtype=np.uint64)), 2_000_000)
+    edges = np.array([0, 1, 1 << 63, (1 << 64) - 1], np.uint64)
+    for some in (words, words[:1], words[-3:], words[:40_000], edges, np.arange(900, dtype=np.uint64)):  # the last all fall into one range
+        v = katz.Vocabulary(some, np.arange(len(some), 0, -1), 10, len(some), 1, 3)
+        for asked in (hashes[:50_000], edges, some[:5_000]):
+            at = np.minimum(np.searchsorted(some, asked), len(some) - 1)
+            assert np.array_equal(v.codes(asked), np.where(some[at] == asked, at.astype(np.uint64), asked | katz.RARE))
+    v = katz.Vocabulary(words, np.arange(len(words), 0, -1), 10, len(words), 1, 3)
+    assert least(lambda: v.codes(hashes)) < least(lambda: np.searchsorted(words, hashes))
+    codes = v.codes(hashes[:400_000])
+    o = {"h": codes[draw.integers(0, 5_000, 400_000)], "w": codes, "c": np.zeros(400_000, np.uint32), "d": np.arange(400_000) % 4096}
+    g = katz.Grams(o, v)
+    by = np.lexsort((o["w"], o["h"]))
+    assert all(np.array_equal(o[k][by], o[k][g.order]) for k in "hw") and np.array_equal(g.words[g.gram], o["w"]) and np.array_equal(g.codes[g.history[g.gram]], o["h"])
+
+
 def test_katz_recursion(spark, docs, monkeypatch):
     """Order 3 backs off to order 2, and that to single words; split words give the same."""
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
