@@ -121,23 +121,34 @@ def simple_paths(graph: Graph, start, end, directed: bool = False, max_hops: int
 #: A row of ``all_pairs_hops`` holds a set of 64 * WORDS sources.
 WORDS = 16
 
+#: Heads in a list of ``all_pairs_hops``, about, if a vertex has an edge to every other.
+HEADS = 1 << 16
+
 
 def all_pairs_hops(graph: Graph, directed: bool = False, max_hops: int | None = None) -> DataFrame:
     """(src, dst, dist): hop counts of all pairs that reach each other, 0 to itself. Weights don't count.
 
     Sources walk together: a row (dst, block) has a bit for each source of the block that reaches dst in a round, so a round's join
     makes a row for each edge and block, not for each edge and source. Sources with their least head in common share blocks.
+    A vertex's heads are lists, of about HEADS each, so that a round shuffles and sorts lists and not edges.
     """
-    arcs = stage(graph.arcs(directed).where("src <> dst").select(F.col("src").alias("mid"), "dst").distinct(), "hops-arcs")
-    near = arcs.groupBy(F.col("mid").alias("id")).agg(F.min("dst").alias("near"))
-    sources = stage(dense_index(graph.vertices.select("id").distinct().join(near, "id", "left"), ["near", "id"], "place").select("id", "place"), "hops-sources")
+    ends = graph.edges.where("src <> dst").select(F.col("src").alias("mid"), "dst")
+    if directed:
+        ends = ends.distinct()
+    else:  # an edge once whatever its direction, then both ways
+        ends = ends.select(F.least("mid", "dst").alias("mid"), F.greatest("mid", "dst").alias("dst")).distinct()
+        ends = ends.select(F.inline(F.array(F.struct("mid", "dst"), F.struct(F.col("dst").alias("mid"), F.col("mid").alias("dst")))))
+    lists = F.pmod(F.xxhash64("dst"), F.lit(1 + graph.vertices.count() // HEADS))
+    arcs = stage(ends.groupBy("mid", lists.alias("list")).agg(F.collect_list("dst").alias("heads")).drop("list"), "hops-arcs")
+    near = arcs.groupBy(F.col("mid").alias("id")).agg(F.min(F.array_min("heads")).alias("near"))
+    sources = dense_index(graph.vertices.select("id").distinct().join(near, "id", "left"), ["near", "id"], "place").select("id", "place")
     words = [f"w{k}" for k in range(WORDS)]
     bit = F.call_function("shiftleft", F.expr("1L"), (F.col("place") % 64).cast("int"))
     word = F.shiftright("place", 6)
     first = sources.select(F.col("id").alias("dst"), F.floor(word / WORDS).alias("block"), *[F.when(word % WORDS == k, bit).otherwise(F.lit(0).cast("long")).alias(w) for k, w in enumerate(words)], F.lit(0).alias("dist"))
 
     def level(frontier: DataFrame, seen: DataFrame, i: int) -> DataFrame:
-        met = frontier.select(F.col("dst").alias("mid"), "block", *words).join(arcs, "mid").groupBy("dst", "block").agg(*[F.bit_or(w).alias(w) for w in words])
+        met = frontier.select(F.col("dst").alias("mid"), "block", *words).join(arcs, "mid").select(F.explode("heads").alias("dst"), "block", *words).groupBy("dst", "block").agg(*[F.bit_or(w).alias(w) for w in words])
         known = seen.groupBy("dst", "block").agg(*[F.bit_or(w).alias(f"{w}_seen") for w in words])
         fresh = met.join(known, ["dst", "block"], "left").select("dst", "block", *[F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"{w}_seen", F.lit(0).cast("long")))).alias(w) for w in words])
         return fresh.where(" or ".join(f"{w} <> 0" for w in words)).withColumn("dist", F.lit(i))
