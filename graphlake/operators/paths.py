@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,18 +123,104 @@ def simple_paths(graph: Graph, start, end, directed: bool = False, max_hops: int
 
 
 #: A row of ``all_pairs_hops`` holds a set of 64 * WORDS sources.
-WORDS = 16
+WORDS = 64
 
 #: Heads in a list of ``all_pairs_hops``, about, if a vertex has an edge to every other.
 HEADS = 1 << 16
 
+#: Vertices of a tile of ``all_pairs_hops``; their places in it fit 16 bits. A task holds two sets for each.
+TILE = 1 << 15
+
+#: Heads in a row that goes to NumPy, arcs that it sorts at once, and sets that it gathers at once.
+ROW_HEADS, ARCS, SETS = 1 << 12, 1 << 21, 1 << 10
+
+
+def _unite(into: np.ndarray, heads: np.ndarray, rows: np.ndarray, sets: np.ndarray, most: int) -> None:
+    """into[heads[k]] |= sets[rows[k]] for all k. Heads with equally many rows are taken together, about ``most`` sets at once."""
+    order = np.argsort(heads, kind="stable")
+    heads, rows = heads[order], rows[order]
+    starts = np.flatnonzero(np.r_[True, heads[1:] != heads[:-1]])
+    counts = np.diff(np.r_[starts, len(heads)])
+    for n in np.unique(counts).tolist():
+        at = starts[counts == n]
+        step = max(1, most // n)
+        for i in range(0, len(at), step):
+            part = at[i : i + step]
+            for k in range(0, n, most):
+                taken = np.take(sets, rows[part + np.arange(k, min(n, k + most))[:, None]].ravel(), axis=0, mode="clip")
+                into[heads[part]] |= np.bitwise_or.reduce(taken.reshape(-1, len(part) * sets.shape[1]), axis=0).reshape(len(part), -1)
+
+
+def _fresh(words: int, tile: int, sources: int, arcs: int, most: int):
+    """The sets of sources that reach a vertex for the first time, and whether all of the block have come now. From rows (tile, block, at,
+    bits, heads) sorted by tile and block: first sets seen at a vertex of the tile, without heads, or null for all sources; then sets for heads."""
+
+    def run(batches):
+        seen, met, touched = np.zeros((tile, words), np.uint64), np.zeros((tile, words), np.uint64), np.zeros(tile, bool)
+        last = mask = full = None
+
+        def flush():
+            at = np.flatnonzero(touched)
+            new = met[at] & ~seen[at]
+            some = new.any(axis=1)
+            whole = ((new | seen[at]) == mask).all(axis=1)[some]
+            seen[at], met[at], touched[at] = 0, 0, False
+            new, at = new[some], at[some]
+            if len(at):
+                bits = pa.ListArray.from_arrays(np.arange(0, new.size + 1, words, dtype=np.int32), new.view(np.int64).ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(at + last[0] * tile), pa.array(np.full(len(at), last[1])), bits, pa.array(whole)], ["place", "block", "bits", "whole"])
+
+        for batch in batches:
+            key = np.stack([batch.column(k).to_numpy() for k in (0, 1)])
+            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            for lo, hi in pairwise([0, *cuts.tolist(), batch.num_rows]):
+                if lo == hi:
+                    continue
+                here = tuple(key[:, lo].tolist())
+                if here != last:
+                    if last is not None:
+                        yield from flush()
+                    last, full = here, None
+                    mask = np.array([(1 << min(max(sources - 64 * (here[1] * words + k), 0), 64)) - 1 for k in range(words)], np.uint64)
+                at, bits, lists = batch.slice(lo, hi - lo).columns[2:]
+                sets = bits.flatten().to_numpy().view(np.uint64).reshape(-1, words)
+                given = bits.is_valid().to_numpy(zero_copy_only=False)
+                row = np.cumsum(given) - 1
+                known = lists.is_null().to_numpy(zero_copy_only=False)
+                at = at.to_numpy()
+                touched[at[known]] = True
+                if (known & given).any():
+                    _unite(seen, at[known & given], row[known & given], sets, most)
+                seen[at[~given]] = mask
+                if known.all():
+                    continue
+                if full is None:  # there nothing can be new
+                    full = (seen == mask).all(axis=1)
+                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                heads, ends = lists.flatten().to_numpy(), np.cumsum(sizes, dtype=np.int64)
+                i = 0
+                while i < len(ends):
+                    first = ends[i] - sizes[i]
+                    j = max(i + 1, int(np.searchsorted(ends, first + arcs, "right")))
+                    some, rows = heads[first : ends[j - 1]], np.repeat(row[i:j], sizes[i:j])
+                    unmet = ~full[some]
+                    some, rows = some[unmet], rows[unmet]
+                    if len(some):
+                        touched[some] = True
+                        _unite(met, some, rows, sets, most)
+                    i = j
+        if last is not None:
+            yield from flush()
+
+    return run
+
 
 def all_pairs_hops(graph: Graph, directed: bool = False, max_hops: int | None = None) -> DataFrame:
     """(src, dst, dist): hop counts of all pairs that reach each other, 0 to itself. Weights don't count.
 
-    Sources walk together: a row (dst, block) has a bit for each source of the block that reaches dst in a round, so a round's join
-    makes a row for each edge and block, not for each edge and source. Sources with their least head in common share blocks.
-    A vertex's heads are lists, of about HEADS each, so that a round shuffles and sorts lists and not edges.
+    Sources walk together: a row (place, block) has a bit for each source of the block that reaches the vertex of this place in a round.
+    Sources with their least head in common share blocks. A vertex's heads are lists by tiles of places; a round sends a vertex's set
+    once to each tile where it has heads, and there the sets are united in memory, for each tile and block apart. Sets become pairs at the end.
     """
     ends = graph.edges.where("src <> dst").select(F.col("src").alias("mid"), "dst")
     if directed:
@@ -141,19 +231,33 @@ def all_pairs_hops(graph: Graph, directed: bool = False, max_hops: int | None =
     lists = F.pmod(F.xxhash64("dst"), F.lit(1 + graph.vertices.count() // HEADS))
     arcs = stage(ends.groupBy("mid", lists.alias("list")).agg(F.collect_list("dst").alias("heads")).drop("list"), "hops-arcs")
     near = arcs.groupBy(F.col("mid").alias("id")).agg(F.min(F.array_min("heads")).alias("near"))
-    sources = dense_index(graph.vertices.select("id").distinct().join(near, "id", "left"), ["near", "id"], "place").select("id", "place")
-    words = [f"w{k}" for k in range(WORDS)]
-    bit = F.call_function("shiftleft", F.expr("1L"), (F.col("place") % 64).cast("int"))
-    word = F.shiftright("place", 6)
-    first = sources.select(F.col("id").alias("dst"), F.floor(word / WORDS).alias("block"), *[F.when(word % WORDS == k, bit).otherwise(F.lit(0).cast("long")).alias(w) for k, w in enumerate(words)], F.lit(0).alias("dist"))
+    others = arcs.select("mid") if not directed else arcs.select(F.explode("heads"))  # ends of edges may be no vertices
+    ids = graph.vertices.select("id", F.lit(True).alias("source")).union(others.withColumn("source", F.lit(False))).groupBy("id").agg(F.max("source").alias("source"))
+    places = stage(dense_index(ids.join(near, "id", "left"), [~F.col("source"), "near", "id"], "place").select("place", "id", "source"), "hops-places")
+    n, sources = places.agg(F.count(F.lit(1)), F.count_if("source")).first()
+    place, block, tile = places.select("place", "id"), 64 * WORDS, F.floor(F.col("place") / TILE).alias("tile")
+    heads = arcs.select("mid", F.explode("heads").alias("id")).join(place, "id").groupBy("mid", tile).agg(F.collect_list((F.col("place") % TILE).cast("short")).alias("heads"))
+    cut = F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("heads") - 1) / ROW_HEADS)), lambda k: F.slice("heads", k * ROW_HEADS + 1, F.lit(ROW_HEADS))))
+    heads = stage(heads.withColumnRenamed("mid", "id").join(place, "id").select("place", "tile", cut.alias("heads")), "hops-heads")
+    word, bit = F.floor(F.col("place") % block / 64), F.call_function("shiftleft", F.expr("1L"), (F.col("place") % 64).cast("int"))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda k: F.when(k == word, bit).otherwise(F.lit(0).cast("long")))
+    first = places.where("source").select("place", F.floor(F.col("place") / block).alias("block"), bits.alias("bits"), F.lit(False).alias("whole"), F.lit(0).alias("dist"))
+    tasks = 4 * (1 + n // TILE) * (1 + sources // block)
+    dealt = ["tile", "block"] if tasks > 1_000 else [tasks, "tile", "block"]
+    one = _fresh(WORDS, min(TILE, n), sources, ARCS, SETS)
 
     def level(frontier: DataFrame, seen: DataFrame, i: int) -> DataFrame:
-        met = frontier.select(F.col("dst").alias("mid"), "block", *words).join(arcs, "mid").select(F.explode("heads").alias("dst"), "block", *words).groupBy("dst", "block").agg(*[F.bit_or(w).alias(w) for w in words])
-        known = seen.groupBy("dst", "block").agg(*[F.bit_or(w).alias(f"{w}_seen") for w in words])
-        fresh = met.join(known, ["dst", "block"], "left").select("dst", "block", *[F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"{w}_seen", F.lit(0).cast("long")))).alias(w) for w in words])
-        return fresh.where(" or ".join(f"{w} <> 0" for w in words)).withColumn("dist", F.lit(i))
+        # a row for each tile and block whose pairs are all found: up to TILE * 64 * WORDS pairs each
+        done = seen.where("whole").groupBy(tile, "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.least(F.lit(TILE), n - F.col("tile") * TILE))
+        met = frontier.select("place", "block", "bits").join(heads, "place").select("tile", "block", F.lit(0).cast("long").alias("at"), "bits", "heads")
+        known = seen.select(tile, "block", F.col("place") % TILE, F.when(~F.col("whole"), F.col("bits")), F.lit(None).cast("array<smallint>"))
+        rest = known.union(met).toDF("tile", "block", "at", "bits", "heads").join(F.broadcast(done), ["tile", "block"], "left_anti")
+        rest = rest.repartition(*dealt).sortWithinPartitions("tile", "block", F.col("heads").isNotNull())
+        return rest.mapInArrow(one, "place long, block long, bits array<long>, whole boolean").withColumn("dist", F.lit(i))
 
     found = grow(level, first, max_hops, "hops")
-    sets = found.select("dst", "dist", "block", F.posexplode(F.array(*words)).alias("k", "bits")).where("bits <> 0").select((F.col("block") * WORDS + F.col("k")).alias("word"), "dst", "dist", "bits")
-    names = sources.groupBy(word.alias("word")).agg(F.sort_array(F.collect_list(F.struct("place", "id")))["id"].alias("ids"))  # up to 64 each
-    return sets.join(names, "word").select(F.explode(F.filter("ids", lambda x, at: F.getbit("bits", at) == 1)).alias("src"), "dst", "dist")
+    names = place.groupBy(F.floor(F.col("place") / block).alias("block"), word.alias("word")).agg(F.sort_array(F.collect_list(F.struct("place", "id")))["id"].alias("ids"))  # up to 64
+    names = stage(names.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("word", "ids")))["ids"].alias("names")), "hops-names")  # up to WORDS
+    sets = found.join(place.withColumnRenamed("id", "dst"), "place").join(names, "block").select("dst", "dist", "names", F.posexplode("bits").alias("k", "set")).where("set <> 0")
+    pairs = sets.select("dst", "dist", "set", F.posexplode(F.col("names")[F.col("k")]).alias("at", "src"))
+    return pairs.where(F.getbit("set", "at") == 1).select("src", "dst", "dist")
